@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import simhash
+from loomgraph.llm import matroska, simhash
 from loomgraph.llm.common import documents
 
 
+def op9_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.read_back(matroska.mux(documents(spark, sf_dir)))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op9_matroska_media": op9_matroska_media,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
