@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import matroska, simhash
+from loomgraph.llm import bpe_codec, matroska, simhash, token_counts
 from loomgraph.llm.common import documents
 
 
+def _tokenizer(name: str) -> str:
+    """A vocabulary file: in LOOMGRAPH_TOKENIZERS, or where the package of public tokenizers has it."""
+    folder = os.environ.get("LOOMGRAPH_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.round_trip(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), limit=1024)
+
+
 def op9_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.read_back(matroska.mux(documents(spark, sf_dir)))
 
@@ -17,6 +37,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_token_counts": op6_token_counts,
     "op9_matroska_media": op9_matroska_media,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
