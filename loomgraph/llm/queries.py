@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe_codec, matroska, simhash, token_counts
+from loomgraph.llm import bpe_codec, exact_dedup, matroska, simhash, token_counts, warc
 from loomgraph.llm.common import documents
 
 
@@ -20,6 +20,19 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(documents(spark, sf_dir))
+
+
+OP4_ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = min(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
+FROM d WINDOW same AS (PARTITION BY norm)
+"""
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
@@ -28,6 +41,22 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+OP7_ORACLE = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS response
+  FROM pages)
+SELECT page_id, n AS payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> response THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> response THEN response END AS refers_to
+FROM p
+"""
+
+
 def op9_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.read_back(matroska.mux(documents(spark, sf_dir)))
 
@@ -37,10 +66,15 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_exact_dedup": op4_exact_dedup,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_token_counts": op6_token_counts,
+    "op7_warc": op7_warc,
     "op9_matroska_media": op9_matroska_media,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": OP4_ORACLE,
+    "op7_warc": OP7_ORACLE,
+}
