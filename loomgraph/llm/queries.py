@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe_codec, exact_dedup, matroska, simhash, token_counts, warc
+from loomgraph.llm import bpe_codec, exact_dedup, language_id, matroska, packing, simhash, token_counts, warc
 from loomgraph.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
@@ -57,6 +61,10 @@ FROM p
 """
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), window=1024)
+
+
 def op9_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.read_back(matroska.mux(documents(spark, sf_dir)))
 
@@ -66,10 +74,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
+    "op8_packing": op8_packing,
     "op9_matroska_media": op9_matroska_media,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
