@@ -96,6 +96,18 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha25
     return _result(plain.unionByName(mixed))
 
 
+def first_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group of equal texts, the one with the least doc_id.
+
+    Of rows equal in doc_id and text one stays; columns stay as they are.
+    """
+    mark = "_text_sha256"
+    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha256"))
+    rows = docs.withColumn(mark, sha256(normalised(F.col("text")).cast("binary")))
+    same = rows["doc_id"].eqNullSafe(kept["_kept_id"]) & (rows[mark] == kept["_kept_sha256"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", mark]).drop(mark)
+
+
 def _result(rows: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id",

@@ -6,11 +6,11 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe_codec, exact_dedup, language_id, matroska, packing, simhash, token_counts, warc
+from loomgraph.llm import bpe_codec, exact_dedup, language_id, lm_scoring, matroska, packing, repeats, simhash, token_counts, warc
 from loomgraph.llm.common import documents
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     """A vocabulary file: in LOOMGRAPH_TOKENIZERS, or where the package of public tokenizers has it."""
     folder = os.environ.get("LOOMGRAPH_TOKENIZERS")
     if folder:
@@ -20,6 +20,48 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir))
+
+
+OP1_ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS c, unnest(range(len(ws))) AS i FROM d),
+t AS (
+  SELECT doc_id, i, c, lag(c) OVER doc AS b, lag(c, 2) OVER doc AS a
+  FROM w WINDOW doc AS (PARTITION BY doc_id ORDER BY i)),
+c0 AS (SELECT doc_id, count(*) AS own, sum(count(*)) OVER () - count(*) AS n FROM t GROUP BY doc_id),
+o1 AS (SELECT doc_id, c, count(*) AS own FROM t GROUP BY ALL),
+c1 AS (SELECT doc_id, c, sum(own) OVER (PARTITION BY c) - own AS n FROM o1),
+o2 AS (SELECT doc_id, b, c, count(*) AS own FROM t WHERE b IS NOT NULL GROUP BY ALL),
+c2 AS (SELECT doc_id, b, c, sum(own) OVER (PARTITION BY b, c) - own AS n FROM o2),
+o3 AS (SELECT doc_id, a, b, c, count(*) AS own FROM t WHERE a IS NOT NULL GROUP BY ALL),
+c3 AS (SELECT doc_id, a, b, c, sum(own) OVER (PARTITION BY a, b, c) - own AS n FROM o3),
+s AS (
+  SELECT t.doc_id,
+    CASE WHEN c3.n > 0 THEN ln(c3.n / h2.n)
+         WHEN c2.n > 0 THEN ln(c2.n / h1.n) + if(t.a IS NULL, 0, ln(0.4))
+         ELSE ln(greatest(c1.n, 0.5) / greatest(c0.n, 1)) + if(t.b IS NULL, 0, ln(0.4)) + if(t.a IS NULL, 0, ln(0.4)) END AS score,
+    CASE WHEN c3.n > 0 OR (c2.n > 0 AND t.a IS NULL) OR t.b IS NULL THEN 0 ELSE 1 END AS gave_up
+  FROM t JOIN c0 USING (doc_id) JOIN c1 ON c1.doc_id = t.doc_id AND c1.c = t.c
+  LEFT JOIN c2 ON c2.doc_id = t.doc_id AND c2.b = t.b AND c2.c = t.c
+  LEFT JOIN c3 ON c3.doc_id = t.doc_id AND c3.a = t.a AND c3.b = t.b AND c3.c = t.c
+  LEFT JOIN c1 AS h1 ON h1.doc_id = t.doc_id AND h1.c = t.b
+  LEFT JOIN c2 AS h2 ON h2.doc_id = t.doc_id AND h2.b = t.a AND h2.c = t.b),
+r AS (SELECT doc_id, count(*) AS n_words, sum(gave_up) AS n_backoff, sum(score) AS score FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_backoff, 0)::BIGINT AS n_backoff,
+       round(coalesce(score, 0), 4)::DOUBLE AS log_score
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
+def op2_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_report(documents(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
@@ -38,11 +80,11 @@ FROM d WINDOW same AS (PARTITION BY norm)
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_codec.round_trip(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
+    return bpe_codec.round_trip(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), limit=1024)
+    return token_counts.token_counts(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +104,7 @@ FROM p
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), window=1024)
+    return packing.pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), window=1024)
 
 
 def op9_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +116,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
+    "op2_repeat_removal": op2_repeat_removal,
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_bpe_round_trip": op5_bpe_round_trip,
@@ -85,6 +129,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_lm_scoring": OP1_ORACLE,
     "op4_exact_dedup": OP4_ORACLE,
     "op7_warc": OP7_ORACLE,
 }

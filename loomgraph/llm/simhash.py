@@ -225,3 +225,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
     return marks.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def representatives(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names their group of near copies.
+
+    A row without a doc_id stays if no row of some such group has one. Columns and repeats stay.
+    """
+    found = near_duplicates(docs, shingle, distance)
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay_id"]), "left_semi")
