@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import bodies, saved, shuffle_partitions
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 #: Keys that one bucket holds in a task's memory.
 BUCKET_KEYS = 3_000_000
 #: Stands for a null doc_id: larger than any other.
@@ -175,7 +175,7 @@ def counted(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], buckets:
         return pa.RecordBatch.from_arrays(columns, ["block", "bucket", "totals"])
 
     asked = blocks.mapInArrow(ask, "bucket int, block long, rests binary, counts binary")
-    dealt = asked.repartition(min(buckets, 4 * shuffle_partitions(blocks.sparkSession)), "bucket").sortWithinPartitions("bucket")
+    dealt = asked.repartitionById(buckets, "bucket")
     answers = dealt.mapInArrow(answer, "block long, bucket int, totals binary")
     return joined(blocks, answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "totals")).alias("totals")))
 

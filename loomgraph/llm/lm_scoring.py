@@ -18,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.blocks import NO_ID, Block, buckets_for, counted, distinct_keys, lists, make_blocks, read_blocks, totals_of
+from loomgraph.llm.blocks import BLOCK_BYTES, NO_ID, Block, buckets_for, counted, distinct_keys, lists, make_blocks, read_blocks, totals_of
 
 ORDER, ALPHA = 3, 0.4
 #: Count of a word that no other document has.
 UNSEEN = 0.5
-BLOCK_BYTES = 4 << 20
 # Odd multipliers of 64 bits, and the inverse of the first one.
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _A_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
