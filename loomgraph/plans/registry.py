@@ -22,3 +22,6 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+from loomgraph.plans import document_queries, graph_queries  # noqa: E402, F401  they register themselves
