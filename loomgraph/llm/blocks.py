@@ -128,6 +128,19 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(raw, kind)
 
 
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending numbers of 40 bits as steps, byte by byte: high bytes of steps are alike."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    return pack(np.ascontiguousarray(steps.T).ravel())
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    planes = unpack(data, "u1").reshape(5, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :5] = planes.T
+    return np.cumsum(steps.reshape(-1).view("<u8"))
+
+
 def counted(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], buckets: int) -> DataFrame:
     """``blocks`` with ``totals``: (bucket, packed counts over all blocks) of its distinct keys.
 
@@ -139,12 +152,12 @@ def counted(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], buckets:
             for block in read_blocks(batch):
                 own = distinct_keys(keys_of(block), buckets)
                 cuts = np.flatnonzero(np.r_[True, own.bucket[1:] != own.bucket[:-1], True]) if len(own.bucket) else np.zeros(1, int)
-                rests, counts = own.rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5], own.counts.astype("<u4")
+                counts = own.counts.astype("<u4")
                 parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
                 columns = [
                     pa.array(own.bucket[cuts[:-1]].astype(np.int32)),
                     pa.array(np.full(len(parts), block.number)),
-                    pa.array([rests[a:b].tobytes() for a, b in parts], pa.binary()),
+                    pa.array([pack_sorted(own.rest[a:b]) for a, b in parts], pa.binary()),
                     pa.array([pack(counts[a:b]) for a, b in parts], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "rests", "counts"])
@@ -163,13 +176,11 @@ def counted(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], buckets:
             yield totals(now, held)
 
     def totals(bucket: int, held: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        raw = np.frombuffer(b"".join(r for _, r, _ in held), np.uint8).reshape(-1, 5)
-        keys = np.zeros((len(raw), 8), np.uint8)
-        keys[:, :5] = raw
-        _, place = np.unique(keys.reshape(-1).view("<u8"), return_inverse=True)
+        keys = [unpack_sorted(r) for _, r, _ in held]
+        _, place = np.unique(np.concatenate(keys), return_inverse=True)
         counts = np.concatenate([unpack(c, "<u4") for _, _, c in held])
         total = np.bincount(place, counts).astype("<u8")[place]
-        ends = np.cumsum([len(r) // 5 for _, r, _ in held])
+        ends = np.cumsum([len(k) for k in keys])
         parts = [pack(x) for x in np.split(total, ends[:-1])]
         columns = [pa.array([b for b, _, _ in held], pa.int64()), pa.array(np.full(len(held), bucket, np.int32)), pa.array(parts, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["block", "bucket", "totals"])
