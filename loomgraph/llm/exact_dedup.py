@@ -53,6 +53,8 @@ def stream_groups(arrivals: DataFrame) -> DataFrame:
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "300")
+    # A store that no task works on is closed: its state lies in the checkpoint, not on a local disk.
+    own.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     arriving = own.readStream.schema("doc_id long, row_id long, digest string").option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(folder)
     groups = arriving.groupBy("digest").agg(least(), F.count("*").alias("n"))
