@@ -17,7 +17,7 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 #: Words kept with their encodings before the table starts anew; bounds a task's memory.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 _MAX_ID = 1 << 20
 _NEVER = 1 << 60
 
@@ -122,7 +122,9 @@ class Vocabulary:
         """
         size = max(map(len, words), default=0) + 1
         last, start, counts = [0] * (size + 1), [0] * (size + 1), [0] * (size + 1)
-        inner, final, follows, marked = self.inner, self.final, self.follows, bool(self.end)
+        last[0] = -1
+        inner, follows, longest = self.inner.get, self.follows.get, self.longest
+        final, marked = self.final, bool(self.end)
         before, known = b"", 0
         for word in words:
             n = len(word)
@@ -134,20 +136,21 @@ class Vocabulary:
                     depth += 1
             stop = n - 1 if marked else n
             for i in range(depth + 1, stop + 1):
-                for j in range(max(0, i - self.longest), i):
-                    token = inner.get(word[j:i])
+                for j in range(i - longest if i > longest else 0, i):
+                    token = inner(word[j:i])
                     if token is not None:
-                        ok = follows.get((last[j] if j else -1) * _MAX_ID + token)
-                        if not (self.may_follow(last[j] if j else -1, token) if ok is None else ok):
-                            continue
-                        last[i], start[i], counts[i] = token, j, counts[j] + 1
-                        break
+                        ok = follows(last[j] * _MAX_ID + token)
+                        if ok is None:
+                            ok = self.may_follow(last[j], token)
+                        if ok:
+                            last[i], start[i], counts[i] = token, j, counts[j] + 1
+                            break
             before, known = word, max(stop, min(depth, n))
             ids, at = [], n
             if marked:
                 for j in range(max(0, n - self.longest_final), n):
                     token = final.get(word[j:])
-                    if token is not None and self.may_follow(last[j] if j else -1, token):
+                    if token is not None and self.may_follow(last[j], token):
                         ids.append(token)
                         at = j
                         break

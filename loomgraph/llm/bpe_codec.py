@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ class Encoder:
             self.table.clear()
             new = words
         for word, ids, _ in self.vocabulary.walk(sorted(map(str.encode, new))):
-            self.table[word.decode()] = np.array(ids, "<u4").tobytes()
+            self.table[word.decode()] = pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         runs = []
