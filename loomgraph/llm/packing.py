@@ -12,8 +12,11 @@ it, plus those of the tasks before.
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations_with_replacement
 from typing import NamedTuple
 
@@ -22,8 +25,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from loomgraph.llm.bpe_codec import encoder
+from loomgraph.llm.bpe import CACHE_WORDS
+from loomgraph.llm.bpe_codec import Encoder
 from loomgraph.llm.common import bodies, saved, with_bytes
 
 WINDOW, END_ID = 1024, 0
@@ -32,6 +37,34 @@ TRIPLE_LENGTHS = 64
 ROUNDS = 400
 
 
+class LibraryEncoder(Encoder):
+    """Ids of whole texts, where the tokenizers library encodes each distinct word once."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+
+    def learn(self, words: set[str]) -> None:
+        new = words - self.table.keys()
+        if len(new) + len(self.table) > CACHE_WORDS:
+            self.table.clear()
+            new = words
+        todo = list(new)
+        for at in range(0, len(todo), 10_000):
+            part = todo[at : at + 10_000]
+            for word, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
+                ids = found.ids
+                self.table[word] = struct.pack(f"<{len(ids)}I", *ids)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> LibraryEncoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return LibraryEncoder(path)
+
+
 class Plan(NamedTuple):
     """Places for ranks 0, 1, ... of each length: arrays sorted by (length, first rank)."""
 
