@@ -23,7 +23,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import saved, scratch, shuffle_partitions
+from loomgraph.llm.blocks import pack, unpack
+from loomgraph.llm.common import bodies, saved, scratch, shuffle_partitions
 
 #: Equal payloads below this many bytes are stored again rather than revisited.
 LEAST_REVISIT = 1000
@@ -164,7 +165,9 @@ def write_archive(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -
         for batch in batches:
             ids = batch.column("page_id").fill_null(np.iinfo(np.int64).min).to_numpy()
             shard = pa.array(np.searchsorted(cuts, ids, side="right").astype(np.int32))
-            yield pa.RecordBatch.from_arrays([shard, *batch.columns], ["shard", *batch.schema.names])
+            packed = pa.array([pack(np.frombuffer(body, np.uint8)) for body in bodies(batch.column("payload"))], pa.binary())
+            columns = [packed if name == "payload" else batch.column(name) for name in batch.schema.names]
+            yield pa.RecordBatch.from_arrays([shard, *columns], ["shard", *batch.schema.names])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -177,7 +180,7 @@ def write_archive(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -
                     yield out.close()
                     out = _File(store, root, shard, out.part + 1 if out.shard == shard else 0)
                 out = out or _File(store, root, shard, 0)
-                out.add(page_id, page_member(page_id, url, payload, response, revisit))
+                out.add(page_id, page_member(page_id, url, unpack(payload, "u1").tobytes(), response, revisit))
         if out:
             yield out.close()
 
