@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.blocks import pack, unpack
+from loomgraph.llm.blocks import unpack
 from loomgraph.llm.common import bodies, saved, scratch, shuffle_partitions
 
 #: Equal payloads below this many bytes are stored again rather than revisited.
@@ -165,7 +165,8 @@ def write_archive(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -
         for batch in batches:
             ids = batch.column("page_id").fill_null(np.iinfo(np.int64).min).to_numpy()
             shard = pa.array(np.searchsorted(cuts, ids, side="right").astype(np.int32))
-            packed = pa.array([pack(np.frombuffer(body, np.uint8)) for body in bodies(batch.column("payload"))], pa.binary())
+            codec = pa.Codec("zstd", compression_level=6)
+            packed = pa.array([len(b).to_bytes(8, "little") + codec.compress(b, asbytes=True) for b in bodies(batch.column("payload"))], pa.binary())
             columns = [packed if name == "payload" else batch.column(name) for name in batch.schema.names]
             yield pa.RecordBatch.from_arrays([shard, *columns], ["shard", *batch.schema.names])
 
