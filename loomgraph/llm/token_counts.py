@@ -38,7 +38,7 @@ class PrefixCounts:
             new = words
         for word, _, counts in self.vocabulary.walk(sorted(map(str.encode, new))):
             own = counts[1 : len(word) + 1]
-            self.table[word.decode()] = bytes(own) if own[-1] < 256 else tuple(own)
+            self.table[word.decode()] = bytes(own) if max(own) < 256 else tuple(own)
 
     def split(self, text: str) -> list[tuple[list[str], bool]]:
         """Runs of words, and special tokens (marked) between them."""

@@ -88,3 +88,12 @@ def test_a_small_word_table_starts_anew(monkeypatch, make_docs):
         runs = table.split(text)
         table.learn({w for ws, _ in runs for w in ws})
         assert sum(table.counts(runs)) == len(Tokenizer.from_file(BYTE).encode(text).ids)
+
+
+def test_an_inner_prefix_may_have_more_tokens_than_fit_a_byte(make_docs):
+    library = Tokenizer.from_file(BYTE)
+    runs = ["A" * 2040, "x" * 2040, *("0" * n for n in range(4066, 4071)), "A" * 2033, "A" * 2048, "x" * 2047]
+    counts = token_counts.prefix_counts(BYTE).of_prefixes(runs[0])
+    assert counts[-1] < 256 <= counts.max()
+    for r in token_counts.token_counts(make_docs(list(enumerate(runs))), BYTE, 64).collect():
+        assert r.n_tokens == len(library.encode(runs[r.doc_id]).ids)
