@@ -39,10 +39,10 @@ class Block(NamedTuple):
         return np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
 
 
-def make_blocks(docs: DataFrame, size: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
+def make_blocks(docs: DataFrame, size: int = BLOCK_BYTES, carry: list[str] | None = None, level: int | None = None) -> DataFrame:
     """The blocks of ``docs``, written below the shared folder; null texts are empty.
 
-    Columns named in ``carry`` go along as Arrow streams.
+    Columns named in ``carry`` go along as Arrow streams. ``level`` is how hard zstd packs the texts.
     """
     carry = carry or []
 
@@ -52,7 +52,7 @@ def make_blocks(docs: DataFrame, size: int = BLOCK_BYTES, carry: list[str] | Non
         def out() -> pa.RecordBatch:
             raw = b"".join(held)
             ends = np.cumsum([len(b) for b in held], dtype=np.int64)
-            packed = pa.compress(raw, codec="zstd", asbytes=True)
+            packed = pa.Codec("zstd", level).compress(raw, asbytes=True)
             row = [n, len(raw), packed, np.array(ids, np.int64).tobytes(), ends.tobytes(), stream(slices)]
             types = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], [c.split()[0] for c in _SCHEMA.split(", ")])
@@ -106,7 +106,12 @@ class Keys(NamedTuple):
     place: np.ndarray  # of each given key among the distinct ones
 
 
-def distinct_keys(keys: np.ndarray, buckets: int) -> Keys:
+def distinct_keys(keys: np.ndarray, buckets: int, whole: bool = False) -> Keys:
+    """``whole``: rest is the whole key, so different keys stay apart; else bucket and 40 bits, which only propose."""
+    if whole:
+        # The order of the keys is that of their buckets, which cut the range of the high 32 bits.
+        found, place, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        return Keys(((found >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), found, counts, place)
     # The bucket comes from the high bits, the rest are 40 bits that are kept whole.
     bucket = ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint64)
     found, place, counts = np.unique(bucket << np.uint64(40) | keys & _REST, return_inverse=True, return_counts=True)
@@ -128,36 +133,38 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(raw, kind)
 
 
-def pack_sorted(values: np.ndarray) -> bytes:
-    """Ascending numbers of 40 bits as steps, byte by byte: high bytes of steps are alike."""
-    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+def pack_sorted(values: np.ndarray, width: int = 5) -> bytes:
+    """Ascending numbers as steps, byte by byte: high bytes of steps are alike."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
     return pack(np.ascontiguousarray(steps.T).ravel())
 
 
-def unpack_sorted(data: bytes) -> np.ndarray:
-    planes = unpack(data, "u1").reshape(5, -1)
+def unpack_sorted(data: bytes, width: int = 5) -> np.ndarray:
+    planes = unpack(data, "u1").reshape(width, -1)
     steps = np.zeros((planes.shape[1], 8), np.uint8)
-    steps[:, :5] = planes.T
+    steps[:, :width] = planes.T
     return np.cumsum(steps.reshape(-1).view("<u8"))
 
 
-def counted(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], buckets: int) -> DataFrame:
+def counted(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], buckets: int, whole: bool = False) -> DataFrame:
     """``blocks`` with ``totals``: (bucket, packed counts over all blocks) of its distinct keys.
 
     ``keys_of`` gives a block's keys (64 bits, repeats included). ``totals_of`` reads the answers.
+    ``whole`` is that of ``distinct_keys``.
     """
+    width = 8 if whole else 5
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in read_blocks(batch):
-                own = distinct_keys(keys_of(block), buckets)
+                own = distinct_keys(keys_of(block), buckets, whole)
                 cuts = np.flatnonzero(np.r_[True, own.bucket[1:] != own.bucket[:-1], True]) if len(own.bucket) else np.zeros(1, int)
                 counts = own.counts.astype("<u4")
                 parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
                 columns = [
                     pa.array(own.bucket[cuts[:-1]].astype(np.int32)),
                     pa.array(np.full(len(parts), block.number)),
-                    pa.array([pack_sorted(own.rest[a:b]) for a, b in parts], pa.binary()),
+                    pa.array([pack_sorted(own.rest[a:b], width) for a, b in parts], pa.binary()),
                     pa.array([pack(counts[a:b]) for a, b in parts], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "rests", "counts"])
@@ -176,7 +183,7 @@ def counted(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], buckets:
             yield totals(now, held)
 
     def totals(bucket: int, held: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        keys = [unpack_sorted(r) for _, r, _ in held]
+        keys = [unpack_sorted(r, width) for _, r, _ in held]
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
         counts = np.concatenate([unpack(c, "<u4") for _, _, c in held])
         total = np.bincount(place, counts).astype("<u8")[place]

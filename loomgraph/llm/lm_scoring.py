@@ -4,7 +4,7 @@ The n-grams of every order are counted in tables partitioned by hash; each block
 to the tables, a document's own occurrences are taken off, and the logarithms are summed per document.
 The number of words of the corpus is the count of the n-gram of order 0.
 
-An n-gram is known by a 64-bit hash of its words (within a table: the bucket and 40 bits). Rows of
+An n-gram is known by a 64-bit hash of its words, which its table keeps whole. Rows of
 single n-grams would be some ten times the input; a block's distinct n-grams of one bucket are one row.
 """
 
@@ -111,16 +111,16 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFram
     up an order or more. Null and empty texts have no words and score 0. Repeated rows vouch for each
     other; null doc_ids are kept; other columns are not read.
     """
-    blocks = make_blocks(docs, BLOCK_BYTES)
+    blocks = make_blocks(docs, BLOCK_BYTES, level=9)
     buckets = buckets_for(blocks, 0.3)
-    answered = counted(blocks, lambda block: asked(grams(block, order)), buckets)
+    answered = counted(blocks, lambda block: asked(grams(block, order)), buckets, whole=True)
     schema = "doc_id long, n_words long, n_backoff long, log_score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, parts in zip(read_blocks(batch), lists(batch, "totals")):
                 found = grams(block, order)
-                counts = others(found, totals_of(parts), distinct_keys(asked(found), buckets).place)
+                counts = others(found, totals_of(parts), distinct_keys(asked(found), buckets, whole=True).place)
                 logs, gave_up = word_scores(counts, alpha)
                 n = len(block.ids)
                 columns = [

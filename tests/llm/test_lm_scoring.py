@@ -56,3 +56,11 @@ def test_empty_table_and_extra_columns(spark, make_docs):
     frame = spark.createDataFrame([(1, "a b", 1), (1, "a b", 2)], "doc_id long, text string, totals int")
     got = lm_scoring.score(frame).collect()
     assert [tuple(r) for r in got] == [(1, 2, 0, round(math.log(1 / 2), 4))] * 2
+
+
+def test_words_whose_hashes_agree_in_42_bits_stay_apart(make_docs):
+    # Hashes 52edcdf6316f67bf and 978f59f6316f67bf, and 330a0aeafbf2f9ba and 8c5002eafbf2f9ba.
+    rows = [(1, "w4228420 a"), (2, "w5863164 b"), (3, "a w1041731"), (4, "a w5343477 b"), (5, "b a")]
+    got = sorted(map(tuple, lm_scoring.score(make_docs(rows)).collect()))
+    for g, w in zip(got, want(rows), strict=True):
+        assert g[:3] == w[:3] and g[3] == pytest.approx(w[3], abs=1e-3)
