@@ -156,8 +156,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def recognised(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that a language is found for; a null ``lang`` becomes that language.
 
-    Rejected are texts that are null or have no letter, and nothing else while there is a row to
-    learn from; if there is none, no row is rejected. Columns, other values and repeats stay.
+    Rejected are texts that are null or have no letter, and nothing else; if there is no row to
+    learn from, a null ``lang`` stays. Columns, other values and repeats stay.
     """
     model = train(docs)
     names = docs.columns
@@ -172,13 +172,13 @@ def recognised(docs: DataFrame) -> DataFrame:
         texts = batch.column(at).to_pylist()
         keep = [i for i, t in enumerate(texts) if t is not None and has_letter(t)]
         found = batch.take(pa.array(keep, pa.int64()))
-        if not keep:
+        if not keep or not model.languages:
             return found
         best, _ = score(model, np.stack([presence(texts[i]) for i in keep]))
         lang = [own if own is not None else model.languages[k] for own, k in zip(found.column(lang_at).to_pylist(), best.tolist())]
         return found.set_column(lang_at, names[lang_at], pa.array(lang, pa.string()))
 
-    return docs.mapInArrow(run, docs.schema) if model.languages else docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

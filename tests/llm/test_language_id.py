@@ -42,3 +42,8 @@ def test_defined_results_for_odd_rows(spark, make_docs):
     nothing = make_docs([(1, "a", None), (2, None, "en")])
     assert {r.lang_pred for r in language_id.identify(nothing).collect()} == {"und"}
     assert language_id.identify(make_docs(rows).limit(0)).collect() == []
+
+
+def test_texts_without_letters_go_even_if_nothing_can_be_learnt(make_docs):
+    rows = [(1, None, None), (2, "", None), (3, "12 34 !", None), (4, "some words", None)]
+    assert [(r.doc_id, r.lang) for r in language_id.recognised(make_docs(rows)).collect()] == [(4, None)]
