@@ -267,8 +267,10 @@ def total_size(spark, sf_dir):
 @query("VEC-01_top_k", "SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings AS e, (SELECT embedding FROM embeddings WHERE vec_id = 0) AS q ORDER BY similarity DESC, e.vec_id LIMIT 40")
 def top_k(spark, sf_dir):
     embeddings = table(spark, sf_dir, "embeddings")
-    asked = embeddings.filter("vec_id = 0").first()["embedding"]
-    return vectors.top_k(embeddings, asked).withColumn("similarity", F.round("similarity", 6))
+    asked = embeddings.filter("vec_id = 0").first()
+    if asked is None:  # the SQL, too, has no rows then
+        return embeddings.select("vec_id", F.lit(0.0).alias("similarity")).limit(0)
+    return vectors.top_k(embeddings, asked["embedding"]).withColumn("similarity", F.round("similarity", 6))
 
 
 # ---- streams
