@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bodies, saved, shuffle_partitions
+from loomgraph.llm.common import bodies, scratch, shuffle_partitions
 
 BLOCK_BYTES = 4 << 20
 #: Keys that one bucket holds in a task's memory.
@@ -40,9 +40,11 @@ class Block(NamedTuple):
 
 
 def make_blocks(docs: DataFrame, size: int = BLOCK_BYTES, carry: list[str] | None = None, level: int | None = None) -> DataFrame:
-    """The blocks of ``docs``, written below the shared folder; null texts are empty.
+    """The blocks of ``docs``, a table below the shared folder; null texts are empty.
 
     Columns named in ``carry`` go along as Arrow streams. ``level`` is how hard zstd packs the texts.
+    The table is bucketed by block as its tasks write it, so answers are joined to it where it lies:
+    only they are shuffled, never the texts.
     """
     carry = carry or []
 
@@ -81,9 +83,13 @@ def make_blocks(docs: DataFrame, size: int = BLOCK_BYTES, carry: list[str] | Non
         return sink.getvalue().to_pybytes()
 
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body, *[F.col(c).alias(f"carried_{c}") for c in carry])
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body, *[F.col(f"`{c}`").alias(f"carried_{i}") for i, c in enumerate(carry)])
     rows = source.mapInArrow(run, _SCHEMA).withColumn("block", F.shiftleft(F.spark_partition_id().cast("long"), 24) + F.col("block"))
-    return saved(rows, "blocks")
+    spark = docs.sparkSession
+    path = scratch(spark, "blocks")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    rows.write.format("parquet").bucketBy(shuffle_partitions(spark), "block").option("path", path).saveAsTable(name)
+    return spark.table(name)
 
 
 def read_blocks(batch: pa.RecordBatch) -> Iterator[Block]:
@@ -195,12 +201,14 @@ def counted(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], buckets:
     asked = blocks.mapInArrow(ask, "bucket int, block long, rests binary, counts binary")
     dealt = asked.repartitionById(buckets, "bucket")
     answers = dealt.mapInArrow(answer, "block long, bucket int, totals binary")
-    return joined(blocks, answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "totals")).alias("totals")))
+    return joined(blocks, answers, "totals")
 
 
-def joined(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """``blocks`` with the column that ``answers`` (block and one more) has for them, else null."""
-    return blocks.join(answers, "block", "left")
+def joined(blocks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
+    """``blocks`` with what ``answers`` (block, and columns that become ``name``, a list) has for them, else null."""
+    dealt = answers.repartition(shuffle_partitions(blocks.sparkSession), "block")
+    lists = dealt.groupBy("block").agg(F.collect_list(F.struct(*[c for c in answers.columns if c != "block"])).alias(name))
+    return blocks.join(lists, "block", "left")
 
 
 def lists(batch: pa.RecordBatch, column: str) -> Iterator[list[dict]]:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +52,19 @@ def with_bytes(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, body)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, longer if ``columns`` has it already (whatever the case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def by_place(df: DataFrame) -> StructType:
+    """The schema of ``df`` with names that any place in a plan takes."""
+    return StructType([StructField(f"column_{i}", f.dataType, f.nullable) for i, f in enumerate(df.schema)])
+
+
 def total_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
 

@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.blocks import BLOCK_BYTES, NO_ID, Block, buckets_for, counted, distinct_keys, lists, make_blocks, read_blocks, totals_of
+from loomgraph.llm.blocks import NO_ID, Block, buckets_for, counted, distinct_keys, lists, make_blocks, read_blocks, totals_of
 
 ORDER, ALPHA = 3, 0.4
+#: Bytes of text in a block, and of those hashed at once. Larger blocks repeat fewer n-grams.
+BLOCK_BYTES, PIECE = 8 << 20, 1 << 20
 #: Count of a word that no other document has.
 UNSEEN = 0.5
 # Odd multipliers of 64 bits, and the inverse of the first one.
@@ -45,6 +47,23 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
+def _word_hashes(text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Differences of prefix sums of byte times power, moved back to power 0, hash each word."""
+    out = np.empty(len(start), np.uint64)
+    cuts = np.searchsorted(start, np.arange(0, len(text) + PIECE, PIECE))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if i == j:
+            continue
+        low = start[i]
+        piece = _LOWER[text[low : stop[j - 1]]].astype(np.uint64) + np.uint64(1)
+        powers = np.multiply.accumulate(np.full(len(piece), _A))
+        sums = np.r_[np.uint64(0), np.cumsum(piece * powers)]
+        back = np.multiply.accumulate(np.full(len(piece), _A_BACK))
+        first, last = start[i:j] - low, stop[i:j] - low
+        out[i:j] = _mix((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64))
+    return out
+
+
 def grams(block: Block, order: int) -> Grams:
     """The n-grams of a block; words are runs of bytes other than 20 and 09-0D (hex), A-Z lower-cased."""
     space = np.r_[_SPACE[block.text], True]
@@ -55,11 +74,7 @@ def grams(block: Block, order: int) -> Grams:
     last = block.ends[block.starts < block.ends] - 1
     stops[last] = ~space[last]
     start, stop = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    # Differences of prefix sums of byte times power, moved back to power 0, hash each word.
-    powers = np.multiply.accumulate(np.full(len(block.text) + 1, _A))
-    sums = np.r_[np.uint64(0), np.cumsum((_LOWER[block.text].astype(np.uint64) + np.uint64(1)) * powers[:-1])]
-    back = np.multiply.accumulate(np.full(len(block.text) + 1, _A_BACK))
-    word = _mix((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64))
+    word = _word_hashes(block.text, start, stop)
     doc = np.searchsorted(block.ends, start, "right")
     rank = np.arange(len(start)) - np.searchsorted(doc, doc, "left")
     keys = [np.zeros(len(start), np.uint64), word]

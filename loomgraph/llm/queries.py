@@ -62,6 +62,27 @@ def op2_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_report(documents(spark, sf_dir))
 
 
+OP2_ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT doc_id, unnest(range(0, len(h) // 2, 500)) AS base, h FROM d),
+p AS (SELECT doc_id, base, substring(h, 2 * base + 1, 2 * 549) AS part FROM pieces),
+w AS (SELECT doc_id, base + i AS place, substring(part, 2 * i + 1, 100) AS s
+  FROM (SELECT doc_id, base, part, unnest(range(0, least(500, len(part) // 2 - 49))) AS i FROM p)),
+least_owner AS (SELECT s, min(doc_id) AS owner FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT w.doc_id, w.place FROM w JOIN least_owner AS o ON o.s = w.s AND o.owner < w.doc_id),
+m AS (SELECT *, CASE WHEN place <= lag(place) OVER (PARTITION BY doc_id ORDER BY place) + 50 THEN 0 ELSE 1 END AS opens FROM g),
+n AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY place) AS span FROM m),
+spans AS (SELECT doc_id, span, min(place) AS a, max(place) + 50 AS b FROM n GROUP BY doc_id, span),
+gaps AS (SELECT doc_id, b AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), 1000000000) AS b FROM spans
+  UNION ALL SELECT doc_id, 0, min(a) FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substring(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
@@ -130,6 +151,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_lm_scoring": OP1_ORACLE,
+    "op2_repeat_removal": OP2_ORACLE,
     "op4_exact_dedup": OP4_ORACLE,
     "op7_warc": OP7_ORACLE,
 }
