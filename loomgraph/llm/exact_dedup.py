@@ -1,23 +1,31 @@
 """Exact deduplication by a stateful stream.
 
-Arrivals (digest, identifier, place of the content) are staged below the shared folder and read as
-a stream. Its state is keyed by digest, kept in RocksDB on disk, never expires, and holds the least
-identifier, where its content lies, and how many rows came. Then the full bytes of all rows whose
-digest was hit are compared; rows of one digest and different bytes are grouped by their bytes.
+Arrivals are appended to a store below the shared folder, and a stream reads them: digest, identifier
+and place of the content (``run``, ``row_id``). Its state is keyed by digest, kept in RocksDB on disk,
+never expires, and holds the least identifier, where its content lies, and how many rows came. A later
+run with the same store goes on from that state. Then the full bytes of all rows whose digest was hit
+are compared; rows of one digest and different bytes are grouped by their bytes.
+
+Bytes are compared by partial minima and maxima in the tasks that read them, so a digest of very many
+rows is one row per task after it. Digests of more than ``HOT`` rows, at most ``HOT_DIGESTS`` of them,
+are joined to their rows by broadcast, all others by a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import saved, scratch
+from loomgraph.llm.common import exists, saved, scratch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Staged files that one micro-batch takes.
 FILES_PER_BATCH = 1000
+#: A digest is hot above so many rows; no more digests than this many ever count as hot.
+HOT, HOT_DIGESTS = 1000, 10_000
+_FIRST = "struct<none:boolean,doc_id:bigint,tie:bigint,run:int,row_id:bigint>"
 
 
 def normalised(text: Column) -> Column:
@@ -29,26 +37,41 @@ def sha256(body: Column) -> Column:
     return F.sha2(body, 256)
 
 
-def stage(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """Arrivals: doc_id, row_id (the locator: a row of this table), digest, text_sha256, body."""
-    body = normalised(F.col("text")).cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"))
-    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row_id"), digest(F.col("body")).cast("string").alias("digest"), sha256(F.col("body")).alias("text_sha256"), "body")
-    return saved(rows, "arrivals")
+def body() -> Column:
+    return normalised(F.col("row.text")).cast("binary")
 
 
 def least() -> Column:
-    """The identifier that stays: the least doc_id (nulls last), of equal ones the first row."""
-    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("first")
+    """The row that stays: the least doc_id (nulls last), of equal ones the least hash of all it holds."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "run", "row_id")).alias("first")
 
 
-def stream_groups(arrivals: DataFrame) -> DataFrame:
-    """Run the stream over the staged ``arrivals`` to its end: digest, first, n."""
-    spark = arrivals.sparkSession
-    path = arrivals.inputFiles()
-    if not path:
-        return arrivals.groupBy("digest").agg(least(), F.count("*").alias("n"))
-    folder, out = path[0].rsplit("/", 1)[0], scratch(spark, "groups")
+# ---- the store
+
+
+def add(docs: DataFrame, store: str, digest: Callable[[Column], Column] = sha256) -> None:
+    """Append the rows of ``docs`` to ``store`` and run its stream to its end.
+
+    Arrivals: run (how many additions came before), row_id, doc_id, digest, text_sha256, tie (a hash
+    of the whole row, which doesn't depend on how rows are dealt) and the row itself. Every addition
+    to a store has the same columns.
+    """
+    spark = docs.sparkSession
+    run = 0
+    if exists(spark, f"{store}/arrivals"):
+        run = spark.read.parquet(f"{store}/arrivals").agg(F.coalesce(F.max("run") + 1, F.lit(0))).first()[0]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    others = F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != "text"])
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), row.alias("row"))
+    rows = rows.withColumn("body", body()).select(
+        F.lit(run).alias("run"), "row_id", F.col("row.doc_id").cast("long").alias("doc_id"), digest(F.col("body")).cast("string").alias("digest"),
+        sha256(F.col("body")).alias("text_sha256"), F.xxhash64("row.text", F.to_json(others)).alias("tie"), "row",
+    )
+    rows.write.mode("append").option("compression", "zstd").parquet(f"{store}/arrivals")
+    _stream(spark, store)
+
+
+def _stream(spark: SparkSession, store: str) -> None:
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
@@ -56,65 +79,87 @@ def stream_groups(arrivals: DataFrame) -> DataFrame:
     # A store that no task works on is closed: its state lies in the checkpoint, not on a local disk.
     own.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    arriving = own.readStream.schema("doc_id long, row_id long, digest string").option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(folder)
-    groups = arriving.groupBy("digest").agg(least(), F.count("*").alias("n"))
+    columns = "doc_id long, tie long, run int, row_id long, digest string"
+    arriving = own.readStream.schema(columns).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{store}/arrivals")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{store}/groups/batch={number}")
 
     query = (
-        groups.writeStream.outputMode("update")
-        .option("checkpointLocation", scratch(spark, "dedup-stream"))
+        arriving.groupBy("digest").agg(least(), F.count("*").alias("n"))
+        .writeStream.outputMode("update")
+        .option("checkpointLocation", f"{store}/state")
         .trigger(availableNow=True)
         .foreachBatch(keep)
         .start()
-    )
+    )
     query.awaitTermination()
-    # A digest that later batches touched again has several rows; its last is the whole.
-    latest = F.max_by(F.struct("first", "n"), "batch").alias("last")
-    return spark.read.parquet(out).groupBy("digest").agg(latest).select("digest", "last.first", "last.n")
 
 
-def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def groups(spark: SparkSession, store: str) -> DataFrame:
+    """digest, first, n of everything that came: of a digest's rows by batch the last is the whole."""
+    folder = f"{store}/groups"
+    if not exists(spark, folder):
+        return spark.createDataFrame([], f"digest string, first {_FIRST}, n long")
+    rows = spark.read.schema(f"digest string, first {_FIRST}, n long, batch long").parquet(folder)
+    return rows.groupBy("digest").agg(F.max_by(F.struct("first", "n"), "batch").alias("last")).select("digest", "last.first", "last.n")
+
+
+def decided(spark: SparkSession, store: str) -> DataFrame:
+    """run, row_id, doc_id, text_sha256, first, n for every row of the store, by full bytes."""
+    arrivals = spark.read.parquet(f"{store}/arrivals")
+    found = saved(groups(spark, store), "dedup-groups")
+    sizes = arrivals.select("digest", body().alias("body")).groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
+    collided = saved(sizes.filter("low <> high").select("digest"), "dedup-collided")
+    rows = arrivals.select("run", "row_id", "doc_id", "tie", "digest", "text_sha256")
+    out = ("run", "row_id", "doc_id", "text_sha256", "first", "n")
+    if collided.isEmpty():
+        return _with_groups(rows, found).select(*out)
+    plain = _with_groups(rows.join(collided, "digest", "left_anti"), found).select(*out)
+    mixed = arrivals.join(collided, "digest", "left_semi").withColumn("body", body())
+    by_bytes = mixed.groupBy("digest", "body").agg(least(), F.count("*").alias("n"))
+    return plain.unionByName(mixed.join(by_bytes, ["digest", "body"]).select(*out))
+
+
+def _with_groups(rows: DataFrame, found: DataFrame) -> DataFrame:
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bound = max(HOT, total // HOT_DIGESTS)  # fewer than total / bound digests have more rows than that
+    hot = found.filter(F.col("n") > bound)
+    if hot.isEmpty():
+        return rows.join(found, "digest")
+    cold = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(found.filter(F.col("n") <= bound), "digest")
+    return cold.unionByName(rows.join(F.broadcast(hot), "digest"))
+
+
+# ---- results
+
+
+def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha256, store: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null and empty texts are equal to each other. Of rows with equal text and equal (or null) doc_id
-    one is kept. Other columns are not read. ``digest`` of different bytes may be equal: full bytes
-    decide.
+    one is kept, the same one however rows are dealt. Other columns are not read. ``digest`` of
+    different bytes may be equal: full bytes decide. With a ``store`` of earlier runs its rows count,
+    and come back, too.
     """
-    arrivals = stage(docs, digest)
-    groups = saved(stream_groups(arrivals), "dedup-groups")
-    hit = groups.filter("n > 1").select("digest")
-    bodies = arrivals.join(hit, "digest", "left_semi")
-    differ = bodies.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).filter("low <> high")
-    collided = saved(differ.select("digest"), "dedup-collided")
-    rows = arrivals.select("doc_id", "row_id", "digest", "text_sha256")
-    if collided.isEmpty():
-        return _result(rows.join(groups, "digest"))
-    plain = rows.join(collided, "digest", "left_anti").join(groups, "digest")
-    mixed = arrivals.join(collided, "digest", "left_semi")
-    by_bytes = mixed.groupBy("digest", "body").agg(least(), F.count("*").alias("n"))
-    mixed = mixed.join(by_bytes, ["digest", "body"]).select(*plain.columns)
-    return _result(plain.unionByName(mixed))
+    spark, store = docs.sparkSession, store or scratch(docs.sparkSession, "dedup")
+    add(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), store, digest)
+    return decided(spark, store).select(
+        "doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), _stays().alias("kept"), "text_sha256"
+    )
 
 
-def first_copies(docs: DataFrame) -> DataFrame:
+def first_copies(docs: DataFrame, store: str | None = None) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of equal texts, the one with the least doc_id.
 
-    Of rows equal in doc_id and text one stays; columns stay as they are.
+    Of rows equal in doc_id and text one stays, chosen by a hash of all its columns; columns of any
+    name stay as they are. With a ``store`` of earlier runs its rows count, and come back, too.
     """
-    mark = "_text_sha256"
-    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha256"))
-    rows = docs.withColumn(mark, sha256(normalised(F.col("text")).cast("binary")))
-    same = rows["doc_id"].eqNullSafe(kept["_kept_id"]) & (rows[mark] == kept["_kept_sha256"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", mark]).drop(mark)
-
-
-def _result(rows: DataFrame) -> DataFrame:
-    return rows.select(
-        "doc_id",
-        F.col("first.doc_id").alias("keep_id"),
-        F.col("n").alias("group_size"),
-        (F.col("row_id") == F.col("first.row_id")).alias("kept"),
-        "text_sha256",
-    )
+    spark, store = docs.sparkSession, store or scratch(docs.sparkSession, "dedup")
+    add(docs, store)
+    kept = decided(spark, store).filter(_stays()).select("run", "row_id")
+    return spark.read.parquet(f"{store}/arrivals").join(kept, ["run", "row_id"], "left_semi").select("row.*")
+
+
+def _stays() -> Column:
+    return (F.col("run") == F.col("first.run")) & (F.col("row_id") == F.col("first.row_id"))

@@ -40,3 +40,35 @@ def test_empty_table_repeated_rows_and_null_ids(spark, make_docs):
     frame = spark.createDataFrame([(7, "a", 1), (7, "a", 2), (None, "a", 3), (None, "b", 4)], "doc_id long, text string, digest int")
     got = sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(frame).collect())
     assert got == [(0, 0, 1, True), (0, 7, 3, False), (7, 7, 3, False), (7, 7, 3, True)]
+
+
+def test_new_arrivals_meet_earlier_ones(make_docs, tmp_path):
+    rows = [(i, f"text {i % 7}") for i in range(10, 40)]
+    later = [(3, "text  1"), (50, "text 2"), (51, "own"), (52, "own ")]
+    store = f"file://{tmp_path}/store"
+    assert {tuple(r) for r in exact_dedup.exact_duplicates(make_docs(rows), store=store).collect()} == want(rows)
+    assert {tuple(r) for r in exact_dedup.exact_duplicates(make_docs(later), store=store).collect()} == want(rows + later)
+    assert {tuple(r) for r in exact_dedup.exact_duplicates(make_docs([(1, "a")]).limit(0), store=store).collect()} == want(rows + later)
+
+
+def test_hot_digests(make_docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT", 5)
+    rows = [(i, "hot" if i % 2 else f"text {i % 20}") for i in range(60)]
+    assert {tuple(r) for r in exact_dedup.exact_duplicates(make_docs(rows)).collect()} == want(rows)
+    monkeypatch.setattr(exact_dedup, "HOT_DIGESTS", 1)
+    assert {tuple(r) for r in exact_dedup.exact_duplicates(make_docs(rows)).collect()} == want(rows)
+
+
+def test_first_copies_keep_columns_and_do_not_depend_on_layout(spark):
+    names = ["doc_id", "text", "_text_sha256", "row", "run", "row_id", "digest", "first", "n", "body", "tie", "a.b"]
+    rows = [(i % 3 if i % 4 else None, "a  b" if i % 2 else "a b", *[f"{c}{i}" for c in names[2:]]) for i in range(24)]
+    schema = ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names)
+    found = set()
+    for parts in (1, 3, 7):
+        docs = spark.createDataFrame(rows, schema).repartition(parts)
+        kept = exact_dedup.first_copies(docs)
+        assert kept.columns == names and kept.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+        [row] = kept.collect()
+        assert row.doc_id == 0 and tuple(row) in set(rows)
+        found.add(tuple(row))
+    assert len(found) == 1
