@@ -1,13 +1,15 @@
 """Language identification with string kernels.
 
 Two texts are compared by the n-grams of 1 to 3 bytes that occur in both (presence, not frequency),
-over the geometric mean of what each has: a blended-spectrum kernel. Landmarks give a Nyström map of
+over the geometric mean of what each has: a blended-spectrum kernel. N-grams are told apart by a hash
+into ``GRAMS`` slots; those of one slot count as one. Landmarks give a Nyström map of
 the kernel, and one-versus-rest kernel ridge regression in that space a score for each language.
 Since the kernel is a product of presence vectors, landmarks, map and regression fold into one
 matrix, and a batch of texts is scored by one product with it.
 
 Training takes a bounded sample: at most ``PER_LANGUAGE`` labelled rows of each of at most
-``LANGUAGES`` languages, chosen by a hash. Scoring covers every row and whole texts.
+``LANGUAGES`` languages, chosen by a hash. Tasks map the sample and add up the normal equations; the
+driver holds the landmarks and two small matrices. Scoring covers every row and whole texts.
 """
 
 from __future__ import annotations
@@ -17,15 +19,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bodies
+from loomgraph.llm.common import bodies, by_place, saved
 
 PER_LANGUAGE, LANGUAGES = 500, 256
 LANDMARKS = 256
 GRAMS = 1 << 14
 RIDGE = 1e-2
+#: Tasks that add up the normal equations.
+TASKS = 16
 #: How sharply scores become probabilities.
 SHARPNESS = 6.0
 UNDETERMINED = "und"
@@ -59,25 +63,48 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def fit(labels: list[str], grams: np.ndarray) -> Model:
-    """Ridge regression on the Nyström map of the rows of ``grams`` (presence, one row a text)."""
-    languages = sorted(set(labels))
-    if not languages:
-        return Model([], np.zeros((GRAMS, 0), np.float32))
-    y = np.where(np.array(labels)[:, None] == np.array(languages), 1.0, -1.0)
+def normed(grams: np.ndarray) -> np.ndarray:
     x = grams.astype(np.float64)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    # Landmarks: every k-th row, the rows being in order of language and hash.
-    marks = x[np.unique(np.linspace(0, len(x) - 1, min(LANDMARKS, len(x))).round().astype(int))]
+    return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+
+class Nystrom(NamedTuple):
+    marks: np.ndarray  # the landmarks' normed n-grams
+    whiten: np.ndarray  # from kernels with the landmarks to the map
+
+
+def nystrom(grams: np.ndarray) -> Nystrom:
+    marks = normed(grams)
     values, vectors = np.linalg.eigh(marks @ marks.T)
     keep = values > 1e-8 * values[-1]
-    nystrom = vectors[:, keep] / np.sqrt(values[keep])
-    phi = np.hstack([x @ marks.T @ nystrom])
-    weight = 1 / np.maximum((np.array(labels)[:, None] == np.array(languages)).sum(axis=0), 1)
-    own = weight[np.searchsorted(languages, labels)][:, None]
-    ridge = RIDGE * own.sum() * np.eye(phi.shape[1])
-    beta = np.linalg.solve(phi.T @ (own * phi) + ridge, phi.T @ (own * y))
-    return Model(languages, (marks.T @ (nystrom @ beta)).astype(np.float32))
+    return Nystrom(marks, vectors[:, keep] / np.sqrt(values[keep]))
+
+
+def landmarks(n: int) -> np.ndarray:
+    """Places of the landmarks among ``n`` rows in order of language and hash."""
+    return np.unique(np.linspace(0, n - 1, min(LANDMARKS, n)).round().astype(int))
+
+
+def equations(space: Nystrom, grams: np.ndarray, language: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What some rows add to both sides of the normal equations; languages weigh the same."""
+    phi = normed(grams) @ space.marks.T @ space.whiten
+    own = phi / counts[language][:, None]
+    y = np.where(language[:, None] == np.arange(len(counts)), 1.0, -1.0)
+    return phi.T @ own, own.T @ y
+
+
+def solved(space: Nystrom, left: np.ndarray, right: np.ndarray, languages: list[str]) -> Model:
+    beta = np.linalg.solve(left + RIDGE * len(languages) * np.eye(len(left)), right)
+    return Model(languages, (space.marks.T @ (space.whiten @ beta)).astype(np.float32))
+
+
+def fit(labels: list[str], grams: np.ndarray) -> Model:
+    """Ridge regression on the Nyström map of the rows of ``grams`` (presence, one row a text), in one place."""
+    languages, language, counts = np.unique(np.array(labels, str), return_inverse=True, return_counts=True)
+    if not len(languages):
+        return Model([], np.zeros((GRAMS, 0), np.float32))
+    space = nystrom(grams[landmarks(len(grams))])
+    return solved(space, *equations(space, grams, language, counts), languages.tolist())
 
 
 def score(model: Model, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,6 +123,7 @@ def held_out() -> Column:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from text and lang of rows that aren't held out, have a lang and have a letter."""
+    spark = docs.sparkSession
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
@@ -115,14 +143,41 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             take = pa.array(good, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), bits], ["lang", "mark", "bits"])
 
-    found = sorted((r["lang"], r["mark"], bytes(r["bits"])) for r in drawn.mapInArrow(run, "lang string, mark long, bits binary").collect())
-    kept, seen = [], dict.fromkeys(share, 0)
-    for lang, _, bits in found:
-        seen[lang] += 1
-        if seen[lang] <= per_language:
-            kept.append((lang, bits))
-    grams = np.unpackbits(np.frombuffer(b"".join(b for _, b in kept), np.uint8).reshape(len(kept), -1), axis=1).astype(bool)
-    return fit([lang for lang, _ in kept], grams.reshape(len(kept), GRAMS))
+    by_hash = Window.partitionBy("lang").orderBy("mark", "bits")
+    ranked = drawn.mapInArrow(run, "lang string, mark long, bits binary").withColumn("rank", F.row_number().over(by_hash))
+    sample = saved(ranked.filter(F.col("rank") <= per_language).select("lang", "rank", "bits"), "language-sample")
+    sizes = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    languages = sorted(sizes)
+    if not languages:
+        return fit([], np.zeros((0, GRAMS), bool))
+    counts = np.array([sizes[name] for name in languages])
+    before = np.cumsum(counts) - counts
+    places = landmarks(int(counts.sum()))
+    of = np.searchsorted(before, places, "right") - 1
+    chosen = spark.createDataFrame([(languages[k], int(at - before[k]) + 1) for k, at in zip(of, places)], "lang string, rank int")
+    marks = sample.join(F.broadcast(chosen), ["lang", "rank"]).orderBy("lang", "rank").collect()  # at most LANDMARKS rows
+    space = nystrom(_unpacked([r["bits"] for r in marks]))
+    number = {name: k for k, name in enumerate(languages)}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right = np.zeros((space.whiten.shape[1],) * 2), np.zeros((space.whiten.shape[1], len(counts)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                language = np.array([number[name] for name in part.column("lang").to_pylist()])
+                a, b = equations(space, _unpacked(part.column("bits").to_pylist()), language, counts)
+                left, right = left + a, right + b
+        yield pa.RecordBatch.from_arrays([pa.array([m.tobytes()], pa.binary()) for m in (left, right)], ["left", "right"])
+
+    # Sorted, so that sums come out alike each time; a row of two matrices for each of a few tasks.
+    parts = sample.repartition(TASKS).sortWithinPartitions("lang", "rank").mapInArrow(add, "left binary, right binary").collect()
+    left, right = (sum(np.frombuffer(r[side]) for r in parts) for side in ("left", "right"))
+    r = space.whiten.shape[1]
+    return solved(space, left.reshape(r, r), right.reshape(r, -1), languages)
+
+
+def _unpacked(bits: list[bytes]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1).astype(bool)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -176,9 +231,10 @@ def recognised(docs: DataFrame) -> DataFrame:
             return found
         best, _ = score(model, np.stack([presence(texts[i]) for i in keep]))
         lang = [own if own is not None else model.languages[k] for own, k in zip(found.column(lang_at).to_pylist(), best.tolist())]
-        return found.set_column(lang_at, names[lang_at], pa.array(lang, pa.string()))
+        return found.set_column(lang_at, found.schema.names[lang_at], pa.array(lang, pa.string()))
 
-    return docs.mapInArrow(run, docs.schema)
+    schema = by_place(docs)
+    return docs.toDF(*schema.names).mapInArrow(run, schema).toDF(*names)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """WARC archives from a table of pages, and back.
 
-Records are dealt to shards by ranges of page_id that hold equal bytes, sorted, and written one gzip
-member each; a file is closed when its compressed size passes ``roll_bytes``. Tasks write under
+Records are dealt to shards by ranges of page_id (and, within one, of a hash of url and payload) that
+hold equal bytes, sorted, and written one gzip member each; a file is closed when its compressed size passes ``roll_bytes``. Tasks write under
 temporary names and return manifest rows; only files of the manifest get their final names, so lost
 or repeated tasks leave no trace in the archive. The same pages give the same bytes: shards, order,
 dates, record ids and gzip headers depend on the rows alone.
@@ -14,10 +14,10 @@ import hashlib
 import posixpath
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from urllib.parse import quote
 
-import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,6 +28,8 @@ from loomgraph.llm.common import bodies, saved, scratch, shuffle_partitions
 
 #: Equal payloads below this many bytes are stored again rather than revisited.
 LEAST_REVISIT = 1000
+#: A payload is hot above so many pages; no more payloads than this many ever count as hot.
+HOT, HOT_PAYLOADS = 1000, 10_000
 ROLL_BYTES = 1 << 30
 SHARD_BYTES = (16 << 20, 2 << 30)
 DATE = "2000-01-01T00:00:00Z"
@@ -106,37 +108,52 @@ def read_members(stream, chunk: int = 1 << 20) -> Iterator[tuple[dict[str, str],
 # ---- writing
 
 
+def _pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, and what sorts equal page_ids."""
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
+    return rows.withColumn("mark", F.xxhash64(F.col("url").cast("binary"), "payload"))
+
+
 def decide(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, response (page_id of the group's response, else null), revisit.
+    """page_id, url, payload, mark, response (page_id of the group's response, else null), revisit.
 
     Groups are rows of equal payload of ``LEAST_REVISIT`` bytes or more; the row with the largest
     page_id is the response. Rows repeated with that page_id are responses too; a null page_id never
-    names the response of a group that has another.
+    names the response of a group that has another. A null html is an empty payload, hence a response.
+    Short payloads aren't joined to anything; payloads of very many pages, of which there can only be
+    ``HOT_PAYLOADS``, are joined where they lie.
     """
-    payload = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
-    rows = rows.withColumn("size", F.octet_length("payload")).withColumn("same", F.when(F.col("size") >= LEAST_REVISIT, F.sha2("payload", 256)))
-    groups = (
-        rows.filter("same IS NOT NULL").groupBy("same")
-        .agg(F.max("page_id").alias("response"), F.count("*").alias("n"))
-        .filter("n > 1").select("same", "response")
-    )
+    rows = _pages(pages)
+    own = ("page_id", "url", "payload", "mark")
+    short = rows.filter(F.octet_length("payload") < LEAST_REVISIT)
+    long = rows.filter(F.octet_length("payload") >= LEAST_REVISIT).withColumn("same", F.sha2("payload", 256))
+    groups = long.groupBy("same").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1")
+    groups = saved(groups, "warc-groups")
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bound = max(HOT, total // HOT_PAYLOADS)  # fewer than total / bound groups are larger
+    hot = F.broadcast(groups.filter(F.col("n") > bound))
+    cold = long.join(hot, "same", "left_anti").join(groups.filter(F.col("n") <= bound), "same", "left")
+    joined = cold.unionByName(long.join(hot, "same").select(*cold.columns))
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("response")) & F.col("response").isNotNull(), F.lit(False))
-    joined = rows.join(groups, "same", "left").withColumn("revisit", revisit)
-    return joined.select("page_id", "url", "payload", F.when(F.col("revisit"), F.col("response")).alias("response"), "revisit")
+    none = F.lit(None).cast("long")
+    return joined.select(*own, F.when(revisit, F.col("response")).alias("response"), revisit.alias("revisit")).unionByName(
+        short.select(*own, none.alias("response"), F.lit(False).alias("revisit"))
+    )
 
 
-def shard_cuts(pages: DataFrame) -> list[int]:
-    """First page_id of each shard but the first; shards hold about equal bytes, ids stay together.
+def shard_cuts(pages: DataFrame) -> list[tuple[bool, int, int]]:
+    """First key (has a page_id, page_id, mark) of each shard but the first; shards hold about equal bytes.
 
-    Bytes before a page are summed over a range-sorted narrow table, so the cuts depend on the rows
-    and not on Spark's own ranges. What comes to the driver is a row per partition and per shard.
+    Bytes up to a page are summed over a range-sorted narrow table, so the cuts depend on the rows
+    and not on Spark's own ranges. Rows equal in page_id, url and payload stay together. What comes to
+    the driver is a row per partition and per shard.
     """
-    weight = (F.coalesce(F.octet_length("html"), F.lit(0)) + OVERHEAD).cast("long")
-    narrow = pages.filter("page_id IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), weight.alias("w"))
+    weight = (F.octet_length("payload") + OVERHEAD).cast("long")
+    key = F.struct(F.col("page_id").isNotNull().alias("known"), F.coalesce("page_id", F.lit(0)).alias("id"), "mark").alias("key")
+    narrow = _pages(pages).select(key, weight.alias("w"))
     n = shuffle_partitions(pages.sparkSession)
-    ranged = narrow.repartitionByRange(n, "page_id").withColumn("range", F.spark_partition_id())
-    ranged = saved(ranged, "warc-ranges")
+    ranged = saved(narrow.repartitionByRange(n, "key").withColumn("range", F.spark_partition_id()), "warc-ranges")
     sums = {r["range"]: r["w"] for r in ranged.groupBy("range").agg(F.sum("w").alias("w")).collect()}
     total = sum(sums.values())
     target = min(max(total // 1000, SHARD_BYTES[0]), SHARD_BYTES[1])
@@ -146,10 +163,11 @@ def shard_cuts(pages: DataFrame) -> list[int]:
     for k in sorted(sums):
         before[k], at = at, at + sums[k]
     start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("range"))
-    inside = F.sum("w").over(Window.partitionBy("range").orderBy("page_id").rangeBetween(Window.unboundedPreceding, -1))
-    shard = F.floor((start + F.coalesce(inside, F.lit(0))) / target)
-    cuts = ranged.select("page_id", shard.alias("shard")).groupBy("shard").agg(F.min("page_id").alias("first"))
-    return sorted(r["first"] for r in cuts.collect())[1:]
+    # Equal keys are peers of the window: they come to the same sum and to one shard.
+    upto = F.sum("w").over(Window.partitionBy("range").orderBy("key"))
+    shard = F.floor((start + upto - 1) / target)
+    cuts = ranged.select("key", shard.alias("shard")).groupBy("shard").agg(F.min("key").alias("first"))
+    return sorted(tuple(r["first"]) for r in cuts.collect())[1:]
 
 
 def write_archive(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -159,12 +177,12 @@ def write_archive(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -
     gives an empty manifest.
     """
     spark = pages.sparkSession
-    cuts = np.array(shard_cuts(pages), np.int64)
+    cuts = shard_cuts(pages)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("page_id").fill_null(np.iinfo(np.int64).min).to_numpy()
-            shard = pa.array(np.searchsorted(cuts, ids, side="right").astype(np.int32))
+            keys = zip(batch.column("page_id").to_pylist(), batch.column("mark").to_pylist())
+            shard = pa.array([bisect_right(cuts, (i is not None, i or 0, mark)) for i, mark in keys], pa.int32())
             codec = pa.Codec("zstd", compression_level=6)
             packed = pa.array([len(b).to_bytes(8, "little") + codec.compress(b, asbytes=True) for b in bodies(batch.column("payload"))], pa.binary())
             columns = [packed if name == "payload" else batch.column(name) for name in batch.schema.names]
@@ -185,9 +203,9 @@ def write_archive(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -
         if out:
             yield out.close()
 
-    schema = "shard int, page_id long, url string, payload binary, response long, revisit boolean"
+    schema = "shard int, page_id long, url string, payload binary, mark long, response long, revisit boolean"
     numbered = decide(pages).mapInArrow(number, schema)
-    dealt = numbered.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "page_id", "url", F.xxhash64("payload"), "payload")
+    dealt = numbered.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", "page_id", "mark", "url", "payload")
     manifest = saved(dealt.mapInArrow(write, MANIFEST), "warc-manifest")
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +308,8 @@ def _page(head: dict[str, str], block: bytes) -> tuple:
 def archived_pages(pages: DataFrame, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write an archive below the shared folder, read it back, and say what was found for each page.
 
-    A revisit's bytes and digest are those of the response it refers to, as read back.
+    A revisit's bytes and digest are those of the response it refers to, as read back. A null html is
+    stored as an empty payload; null page_ids come back as null, repeated rows as often as they came.
     """
     spark = pages.sparkSession
     folder = scratch(spark, "warc")

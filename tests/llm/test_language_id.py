@@ -47,3 +47,28 @@ def test_defined_results_for_odd_rows(spark, make_docs):
 def test_texts_without_letters_go_even_if_nothing_can_be_learnt(make_docs):
     rows = [(1, None, None), (2, "", None), (3, "12 34 !", None), (4, "some words", None)]
     assert [(r.doc_id, r.lang) for r in language_id.recognised(make_docs(rows)).collect()] == [(4, None)]
+
+
+def test_sums_of_tasks_are_the_fit_in_one_place(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IS NOT NULL")
+    rows = [r for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.text and language_id.has_letter(r.text)]
+    model = language_id.train(docs.repartition(7), per_language=10_000)
+    order = sorted(range(len(rows)), key=lambda k: rows[k].lang)
+    here = language_id.fit([rows[k].lang for k in order], np.stack([language_id.presence(rows[k].text) for k in order]))
+    assert model.languages == here.languages
+    grams = np.stack([language_id.presence(r.text) for r in rows])
+    # Landmarks differ (their order within a language is a hash), what they say doesn't.
+    assert (language_id.score(model, grams)[0] == language_id.score(here, grams)[0]).mean() > 0.99
+    again = language_id.train(docs.repartition(3), per_language=10_000)
+    assert np.array_equal(model.weights, again.weights) or np.allclose(model.weights, again.weights, atol=1e-6)
+
+
+def test_columns_of_any_name_and_repeated_rows_stay(spark):
+    names = ["doc_id", "text", "lang", "bits", "mark", "rank", "held_out", "score", "a.b"]
+    rows = [(i, "der hund und die katze" if i % 2 else "the dog and the cat", None if i % 7 == 0 else "de" if i % 2 else "en", *"abcdef") for i in range(40)]
+    docs = spark.createDataFrame(rows + rows[:5], ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names))
+    kept = language_id.recognised(docs)
+    assert kept.columns == names and kept.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    want = [(*r[:2], "de" if r[0] % 2 else "en", *r[3:]) for r in rows + rows[:5]]
+    assert sorted(map(tuple, kept.collect())) == sorted(want)
+    assert language_id.identify(docs).count() == 45

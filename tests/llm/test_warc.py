@@ -63,3 +63,15 @@ def test_repeated_rows_and_null_ids(spark):
     ]
     alone = warc.archived_pages(spark.createDataFrame([(None, "a", big), (None, "b", big)], SCHEMA)).collect()
     assert [(r.record_type, r.payload_bytes) for r in alone] == [("response", 2000)] * 2
+
+
+def test_hot_payloads_and_many_rows_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT", 5)
+    monkeypatch.setattr(warc, "SHARD_BYTES", (20_000, 40_000))
+    rows = [(i, "u", "h" * 2000 if i % 2 else f"{i % 20:04d}" * 300) for i in range(80)]
+    assert {tuple(r) for r in warc.archived_pages(spark.createDataFrame(rows, SCHEMA)).collect()} == want(rows)
+    lost = [(None, f"u{i}", str(i) * 600) for i in range(60)]
+    folder = scratch(spark, "test-warc")
+    manifest = warc.write_archive(spark.createDataFrame(lost, SCHEMA), folder).collect()
+    assert len({r.shard for r in manifest}) > 1 and sum(r.records for r in manifest) == 60
+    assert sorted(r.url for r in warc.read_archive(spark, folder).collect()) == sorted(r[1] for r in lost)
