@@ -113,3 +113,26 @@ def first_truthy(*columns: Column) -> Column:
 def mode_or_default(mode: Column, modes: tuple[str, ...], default: str, last: str = "mix") -> Column:
     """The mode if there is such a one, else the default, or ``last`` if that is none either."""
     return F.when(mode.isin(*modes), mode).otherwise(default if default in modes else last)
+
+
+# What a message of success contains.
+ACCEPTED = ("sin duplicar", "aceptado")
+
+
+def accepted(message: Column) -> Column:
+    """Whether an answer says that a document was taken; a missing answer doesn't."""
+    return F.coalesce(message.contains(ACCEPTED[0]) | message.contains(ACCEPTED[1]), F.lit(False))
+
+
+def storage_entries(health: Column) -> Column:
+    """Map of lower-case name to text of all scalar fields of a health text whose name contains "storage".
+
+    They are looked for under "configuration" if that is an object, else at the root; a text that is
+    no object gives an empty map.
+    """
+    fields = lambda text: F.from_json(text, "map<string,string>")
+    root = F.coalesce(fields(health), F.create_map().cast("map<string,string>"))
+    inner = root["configuration"]
+    entries = F.map_entries(F.when(inner.startswith("{"), fields(inner)).otherwise(root))
+    own = F.filter(entries, lambda e: F.contains(F.lower(e["key"]), F.lit("storage")) & e["value"].isNotNull() & ~e["value"].rlike(r"^[\[{]"))
+    return F.map_from_entries(F.transform(own, lambda e: F.struct(F.lower(e["key"]), e["value"])))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.tables import last_wins
 from loomgraph.operators.traverse import closure
 from loomgraph.schemas import is_dependency, is_public, is_symbol
 
@@ -13,18 +14,18 @@ FLAGS = ("reusable", "mandatory", "keep")
 
 
 def fan_in(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, fan_in (dependency edges), fan_in_modules (modules of known sources), call_in."""
+    """id, fan_in (dependency edges, each key once), fan_in_modules (modules of known sources), call_in."""
     modules = nodes.filter("kind = 'Module'").groupBy("file").agg(F.max_by("qualified_name", "seq").alias("module"))
     sources = nodes.join(modules, "file", "left").select(F.col("id").alias("src"), F.coalesce("module", "file").alias("module"))
-    rows = edges.filter(is_dependency()).join(sources, "src", "left")
+    rows = edges.filter(is_dependency()).select("src", "kind", "dst").distinct().join(sources, "src", "left")
     return rows.groupBy(F.col("dst").alias("id")).agg(
         F.count("*").alias("fan_in"), F.countDistinct("module").alias("fan_in_modules"), F.count_if(F.col("kind") == "CALLS").alias("call_in")
     )
 
 
 def annotation_maps(annotations: DataFrame) -> DataFrame:
-    """id, annotations (label to note), and the other labels in order of ``seq``."""
-    grouped = annotations.groupBy(F.col("node_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("seq", "label", "note"))).alias("rows"))
+    """id, annotations (label to note), and the other labels in order of ``seq``; of equal labels the last counts."""
+    grouped = last_wins(annotations, ["node_id", "label"]).groupBy(F.col("node_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("seq", "label", "note"))).alias("rows"))
     return grouped.select(
         "id",
         F.map_from_entries(F.transform("rows", lambda r: F.struct(r["label"], r["note"]))).alias("annotations"),
@@ -56,6 +57,12 @@ def build(nodes: DataFrame, edges: DataFrame, annotations: DataFrame, entrypoint
     )
 
 
+def annotations_of(annotations: DataFrame, node: str | None = None) -> DataFrame:
+    """node_id, label, note of one node, or of all."""
+    rows = annotations if node is None else annotations.filter(F.col("node_id") == node)
+    return last_wins(rows, ["node_id", "label"]).select("node_id", "label", "note")
+
+
 def matching(inventory: DataFrame, text: str = "") -> DataFrame:
     """A flag's name keeps the symbols that have it; other text is looked for in qualified names."""
     text = text.strip().lower()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.schemas import edge_key
+
 
 def last_wins(rows: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:
     """One row per key: the values of its last row at the place (``seq``) of its first."""
@@ -25,6 +27,12 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], seq: str = "seq") ->
     )
 
 
+def upsert_graph(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes by id and edges by key, both upserted."""
+    keyed = lambda rows: rows.withColumn("_key", edge_key())
+    return upsert(nodes, new_nodes, ["id"]), upsert(keyed(edges), keyed(new_edges), ["_key"]).drop("_key")
+
+
 def delete_files(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes of the files go, and edges that begin at one of them; edges that end there stay."""
     gone = nodes.join(files.select("file").distinct(), "file", "left_semi").select(F.col("id").alias("src")).distinct()

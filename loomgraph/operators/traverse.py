@@ -1,7 +1,7 @@
 """Traversals: bounded breadth-first search with discovery order, and unbounded closure.
 
 A level is a join of the frontier with the edges, an anti-join with what was seen, and a minimum per
-node. The order of a queue is that of paths of edge places, so the least path names the edge that
+node. The edges are laid out by their near end once, for all levels. The order of a queue is that of paths of edge places, so the least path names the edge that
 finds a node first, and nothing has to be numbered globally. Each level is checkpointed.
 """
 
@@ -14,12 +14,14 @@ from loomgraph.plans.lineage import cut
 from loomgraph.schemas import DEPENDENCIES
 
 CALLS = ("CALLS",)
+#: After so many levels what was seen is written anew, as one table.
+REWRITE = 8
 
 
 def adjacency(edges: DataFrame, kinds: tuple[str, ...] = DEPENDENCIES, backward: bool = False) -> DataFrame:
     here, there = ("dst", "src") if backward else ("src", "dst")
     rows = edges.filter(F.col("kind").isin(*kinds) & (F.col("dst") != ""))
-    return rows.select(F.col(here).alias("here"), F.col(there).alias("there"), "seq", "confidence")
+    return cut(rows.select(F.col(here).alias("here"), F.col(there).alias("there"), "seq", "confidence").repartition("here"))
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int, kinds: tuple[str, ...] = CALLS, backward: bool = False) -> DataFrame:
@@ -43,16 +45,18 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, kinds: tuple[str, ...
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        seen = cut(seen) if level % REWRITE == 0 else seen
     return seen.filter("distance > 0")
 
 
 def closure(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """Ids reachable over dependency edges from ``entries`` (column id), the entries among them."""
-    steps = adjacency(edges).select(F.col("here").alias("id"), "there").distinct()
+    steps, level = adjacency(edges).select(F.col("here").alias("id"), "there"), 0
     seen = frontier = cut(entries.select("id").distinct())
     while not frontier.isEmpty():
         frontier = cut(frontier.join(steps, "id").select(F.col("there").alias("id")).distinct().join(seen, "id", "left_anti"))
-        seen = seen.union(frontier)
+        level += 1
+        seen = cut(seen.union(frontier)) if level % REWRITE == 0 else seen.union(frontier)
     return seen
 
 
@@ -107,3 +111,10 @@ def change_impact(nodes: DataFrame, edges: DataFrame, files: DataFrame, depth: i
     found = reach(edges, touched.select(F.col("id").alias("root")), depth, DEPENDENCIES, backward=True)
     named = touched.select(F.col("id").alias("root"), F.col("qualified_name").alias("symbol"), F.col("file").alias("symbol_file"))
     return described(found, nodes).join(named, "root")
+
+
+def impact_by_file(nodes: DataFrame, edges: DataFrame, files: DataFrame, depth: int = 3) -> DataFrame:
+    """file, symbol, affected: how many nodes a change to each symbol of the files reaches, none too."""
+    found = change_impact(nodes, edges, files, depth).groupBy(F.col("root").alias("id")).agg(F.count("*").alias("reached"))
+    touched = nodes.filter(F.col("kind").isin("Function", "Method", "Class")).join(files.select("file").distinct(), "file", "left_semi")
+    return touched.join(found, "id", "left").select("file", F.col("qualified_name").alias("symbol"), "id", F.coalesce("reached", F.lit(0)).alias("affected"))

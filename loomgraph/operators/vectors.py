@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.traverse import reach
+from loomgraph.schemas import DEPENDENCIES
+
 
 def dot(a: Column, b: Column) -> Column:
     product = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -20,3 +23,15 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 40) -> DataFrame:
     """vec_id and similarity of the ``k`` vectors nearest to ``query``; of equal ones the least id."""
     against = F.array(*[F.lit(float(x)) for x in query])
     return vectors.select("vec_id", cosine(F.col("embedding"), against).alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(k)
+
+
+def expanded(hits: DataFrame, edges: DataFrame, depth: int = 1) -> DataFrame:
+    """Hits (id, similarity) and what lies within ``depth`` dependency edges of them, either way.
+
+    id, similarity (of the best hit that leads there), distance from the nearest hit; hits have 0.
+    """
+    roots = hits.select(F.col("id").alias("root"), "similarity")
+    ways = [reach(edges, roots.select("root"), depth, DEPENDENCIES, backward) for backward in (False, True)]
+    near = ways[0].select("root", "id", "distance").union(ways[1].select("root", "id", "distance")).join(roots, "root").drop("root")
+    both = near.unionByName(hits.select("id", "similarity", F.lit(0).alias("distance")))
+    return both.groupBy("id").agg(F.max("similarity").alias("similarity"), F.min("distance").alias("distance"))

@@ -12,7 +12,7 @@ from loomgraph.plans.relations import duck, rows
 from loomgraph.schemas import edge_key, is_dependency, is_public, is_symbol
 
 _N, _E = f"n AS ({duck(rel.NODES)})", f"e AS ({duck(rel.EDGES)})"
-_CN, _CE = f"n AS ({duck(rel.CODE_NODES)})", f"e AS ({duck(rel.CODE_EDGES)})"
+_CN = f"n AS ({duck(rel.CODE_NODES)})"
 _DEP = "kind IN ('CALLS', 'INHERITS', 'IMPLEMENTS') AND dst <> ''"
 _CORE = "id, kind, qualified_name, name, file, seq"
 
@@ -84,27 +84,28 @@ def file_scope(spark, sf_dir):
 # ---- resolution
 
 _TABLES = f"""
-{_CN}, {_CE},
-files AS (SELECT file, arg_max(qualified_name, seq) AS module FROM n WHERE kind = 'Module' GROUP BY file),
-last AS (SELECT id, arg_max(kind, seq) AS kind, arg_max(qualified_name, seq) AS qualified_name, arg_max(name, seq) AS name, arg_max(file, seq) AS file FROM n GROUP BY id),
-kids AS (SELECT s.kind, s.qualified_name AS owner, c.name, c.kind AS child_kind, arg_max(c.id, e.seq) AS id
-  FROM e JOIN last AS s ON s.id = e.src JOIN last AS c ON c.id = e.dst WHERE e.kind = 'DEFINES' GROUP BY ALL),
-uniq AS (SELECT name, min(id) AS id FROM n WHERE kind IN ('Function', 'Method', 'Class') GROUP BY name HAVING count(*) = 1),
-uniq_class AS (SELECT name, min(id) AS id FROM n WHERE kind = 'Class' GROUP BY name HAVING count(*) = 1),
-imports AS (SELECT DISTINCT s.qualified_name AS module, callee_name AS name FROM e JOIN last AS s ON s.id = e.src WHERE e.kind = 'IMPORTS'),
-placed AS (SELECT e.*, s.id IS NOT NULL AS known, f.module,
-    CASE WHEN s.kind = 'Method' AND contains(s.qualified_name, '.') THEN regexp_replace(s.qualified_name, '\\.[^.]*$', '') END AS class
+n AS MATERIALIZED ({duck(rel.CODE_NODES)}), e AS MATERIALIZED ({rel.CODE_EDGES.format(code_nodes="SELECT * FROM n", lineitem="lineitem")}),
+files AS MATERIALIZED (SELECT file, arg_max(qualified_name, seq) AS module FROM n WHERE kind = 'Module' GROUP BY file),
+last AS MATERIALIZED (SELECT id, arg_max(kind, seq) AS kind, arg_max(qualified_name, seq) AS qualified_name, arg_max(name, seq) AS name, arg_max(file, seq) AS file FROM n GROUP BY id),
+kids AS MATERIALIZED (SELECT s.kind, s.qualified_name AS owner, c.name, c.kind AS child_kind, c.id, e.seq
+  FROM e JOIN last AS s ON s.id = e.src JOIN last AS c ON c.id = e.dst WHERE e.kind = 'DEFINES'),
+top AS MATERIALIZED (SELECT owner, name, arg_max(id, seq) AS id FROM kids WHERE kind = 'Module' GROUP BY owner, name),
+mem AS MATERIALIZED (SELECT owner, name, arg_max(id, seq) AS id FROM kids WHERE kind = 'Class' AND child_kind IN ('Method', 'Function') GROUP BY owner, name),
+uniq AS MATERIALIZED (SELECT name, min(id) AS id FROM n WHERE kind IN ('Function', 'Method', 'Class') GROUP BY name HAVING count(*) = 1),
+uniq_class AS MATERIALIZED (SELECT name, min(id) AS id FROM n WHERE kind = 'Class' GROUP BY name HAVING count(*) = 1),
+imports AS MATERIALIZED (SELECT DISTINCT s.qualified_name AS module, callee_name AS name FROM e JOIN last AS s ON s.id = e.src WHERE e.kind = 'IMPORTS'),
+placed AS MATERIALIZED (SELECT e.*, s.id IS NOT NULL AS known, f.module,
+    CASE WHEN s.kind = 'Method' AND contains(s.qualified_name, '.') THEN regexp_replace(s.qualified_name, '\\.[^.]*$', '') END AS class,
+    regexp_replace(e.callee_name, '^.*\\.', '') AS short, CASE WHEN e.receiver = '' THEN e.callee_name ELSE e.receiver END AS wanted
   FROM e LEFT JOIN last AS s ON s.id = e.src LEFT JOIN files AS f ON f.file = s.file),
 found AS (SELECT p.*, top.id AS top_id, mem.id AS mem_id, u.id AS uniq_id, i.name IS NOT NULL AS imported, tt.id AS type_top, uc.id AS type_uniq
   FROM placed AS p
-  LEFT JOIN (SELECT owner, name, arg_max(id, id) AS id FROM kids WHERE kind = 'Module' GROUP BY ALL) AS top ON top.owner = p.module AND top.name = p.callee_name
-  LEFT JOIN (SELECT owner, name, arg_max(id, id) AS id FROM kids WHERE kind = 'Class' AND child_kind IN ('Method', 'Function') GROUP BY ALL) AS mem
-    ON mem.owner = p.class AND mem.name = p.callee_name
+  LEFT JOIN top ON top.owner = p.module AND top.name = p.callee_name
+  LEFT JOIN mem ON mem.owner = p.class AND mem.name = p.callee_name
   LEFT JOIN uniq AS u ON u.name = p.callee_name
-  LEFT JOIN imports AS i ON i.module = p.module AND i.name = CASE WHEN p.receiver = '' THEN p.callee_name ELSE p.receiver END
-  LEFT JOIN (SELECT owner, name, arg_max(id, id) AS id FROM kids WHERE kind = 'Module' GROUP BY ALL) AS tt
-    ON tt.owner = p.module AND tt.name = regexp_replace(p.callee_name, '^.*\\.', '')
-  LEFT JOIN uniq_class AS uc ON uc.name = regexp_replace(p.callee_name, '^.*\\.', ''))"""
+  LEFT JOIN imports AS i ON i.module = p.module AND i.name = p.wanted
+  LEFT JOIN top AS tt ON tt.owner = p.module AND tt.name = p.short
+  LEFT JOIN uniq_class AS uc ON uc.name = p.short)"""
 _RULE = """CASE WHEN kind IN ('DEFINES', 'IMPORTS') OR NOT known THEN 'as is'
   WHEN kind <> 'CALLS' THEN CASE WHEN type_top IS NOT NULL THEN 'type top' WHEN type_uniq IS NOT NULL THEN 'type unique' ELSE 'type external' END
   WHEN lower(receiver) IN ('self', 'me', 'this', 'mybase', 'myclass', 'mi') AND mem_id IS NOT NULL THEN 'member'
@@ -130,7 +131,7 @@ def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("JOIN-01_unique_names", f"WITH {_CN} SELECT name, min(id) AS id FROM n WHERE kind IN ('Function', 'Method', 'Class') GROUP BY name HAVING count(*) = 1")
 def unique_names(spark, sf_dir):
-    return resolve.symbol_tables(*_code(spark, sf_dir)).unique
+    return resolve.symbol_tables(*_code(spark, sf_dir)).unique.select("name", "id").filter("id IS NOT NULL")
 
 
 @query("JOIN-02_resolve_calls", f"SELECT * FROM ({_RESOLVED}) WHERE kind = 'CALLS'")
@@ -156,8 +157,8 @@ def changed_symbols(spark, sf_dir):
 
 # ---- aggregates and inventory
 
-_FAN = f"""SELECT dst AS id, count(*) AS fan_in, count(DISTINCT coalesce(m.module, s.file)) AS fan_in_modules,
-  count(*) FILTER (WHERE e.kind = 'CALLS') AS call_in
+_FAN = f"""SELECT dst AS id, count(DISTINCT (e.src, e.kind)) AS fan_in, count(DISTINCT coalesce(m.module, s.file)) AS fan_in_modules,
+  count(DISTINCT e.src) FILTER (WHERE e.kind = 'CALLS') AS call_in
 FROM e LEFT JOIN n AS s ON s.id = e.src LEFT JOIN (SELECT file, arg_max(qualified_name, seq) AS module FROM n WHERE kind = 'Module' GROUP BY file) AS m ON m.file = s.file
 WHERE e.{_DEP} GROUP BY dst"""
 _LIVE = f"""live AS (SELECT id FROM n WHERE kind IN ('Function', 'Method', 'Class') AND lower(name) IN ('main', 'red widget')
@@ -232,6 +233,11 @@ def symbols_by_file(spark, sf_dir):
     return nodes(spark, sf_dir).filter(is_symbol()).groupBy("file").agg(F.count("*").alias("symbols"))
 
 
+@query("FLT-09_annotations_of", f"SELECT node_id, label, arg_max(note, seq) AS note FROM ({duck(rel.ANNOTATIONS)}) WHERE node_id = 'n6' GROUP BY ALL")
+def annotations_of(spark, sf_dir):
+    return inventory.annotations_of(rows(spark, sf_dir, rel.ANNOTATIONS), "n6")
+
+
 # ---- traversal
 
 
@@ -290,6 +296,17 @@ def change_impact(spark, sf_dir):
     return traverse.change_impact(nodes(spark, sf_dir), edges(spark, sf_dir), files).select("root", "id", "distance")
 
 
+@query(
+    "AGG-14_impact_by_file",
+    f"""WITH RECURSIVE {_N}, {_E}, t AS (SELECT id, file, qualified_name AS symbol FROM n WHERE kind IN ('Function', 'Method', 'Class') AND file IN ('Brand#3.py', 'Brand#12.py')),
+r(root, id, d) AS (SELECT id, id, 0 FROM t UNION SELECT root, e.src, d + 1 FROM r JOIN e ON e.dst = r.id WHERE {_ANY} AND d < 3)
+SELECT file, symbol, t.id, count(DISTINCT r.id) - 1 AS affected FROM t JOIN r ON r.root = t.id GROUP BY ALL""",
+)
+def impact_by_file(spark, sf_dir):
+    files = spark.createDataFrame([("Brand#3.py",), ("Brand#12.py",)], "file string")
+    return traverse.impact_by_file(nodes(spark, sf_dir), edges(spark, sf_dir), files)
+
+
 @query(
     "GRF-01_resolve_symbol",
     f"""WITH {_N}, q AS (SELECT unnest(['Brand#7.red widget', 'red widget', '_red widget', 'nothing', 'Brand#19.small ring']) AS symbol),
@@ -319,6 +336,23 @@ def upsert_nodes(spark, sf_dir):
     return tables.upsert(rows_.filter("seq % 3 <> 0"), rows_.filter("seq % 2 = 0").withColumn("name", F.concat("name", F.lit("2"))), ["id"])
 
 
+_BOTH = f"""WITH {_N}, {_E},
+un AS (SELECT id, name, seq, 0 AS t FROM n WHERE seq % 3 <> 0 UNION ALL SELECT id, concat(name, '2'), seq, 1 FROM n WHERE seq % 2 = 0),
+ue AS (SELECT src, kind, dst, confidence, seq, 0 AS t FROM e WHERE seq % 3 <> 0 UNION ALL SELECT src, kind, dst, 'again', seq, 1 FROM e WHERE seq % 2 = 0)
+SELECT 'node' AS what, id, arg_max(name, t) AS value, arg_min(seq, t * 100000000 + seq) AS seq FROM un GROUP BY id
+UNION ALL SELECT 'edge', concat(src, ' ', kind, ' ', dst), arg_max(confidence, t * 100000000 + seq), arg_min(seq, t * 100000000 + seq) FROM ue GROUP BY src, kind, dst"""
+
+
+@query("MUT-03_upsert_many", _BOTH)
+def upsert_many(spark, sf_dir):
+    n, e = nodes(spark, sf_dir).select("id", "name", "seq"), edges(spark, sf_dir)
+    new_nodes = n.filter("seq % 2 = 0").withColumn("name", F.concat("name", F.lit("2")))
+    new_edges = e.filter("seq % 2 = 0").withColumn("confidence", F.lit("again"))
+    n, e = tables.upsert_graph(n.filter("seq % 3 <> 0"), e.filter("seq % 3 <> 0"), new_nodes, new_edges)
+    shown = e.select(F.lit("edge").alias("what"), F.concat_ws(" ", "src", "kind", "dst").alias("id"), F.col("confidence").alias("value"), "seq")
+    return shown.union(n.select(F.lit("node"), "id", "name", "seq"))
+
+
 @query(
     "MUT-02_collapse_edges",
     f"""WITH r AS ({_RESOLVED}) SELECT src, kind, CASE WHEN dst <> '' THEN dst ELSE concat('?', callee_name, ':', receiver) END AS target,

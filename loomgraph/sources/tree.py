@@ -33,11 +33,15 @@ class _Paths(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, root: str, per_task: int):
-        self.root, self.per_task = root, per_task
+    def __init__(self, root: str, per_task: int, excluded: set[str], suffixes: tuple[str, ...]):
+        self.root, self.per_task, self.excluded, self.suffixes = root, per_task, excluded, suffixes
 
     def partitions(self) -> list[InputPartition]:
-        found = [os.path.relpath(os.path.join(folder, name), self.root) for folder, _, names in os.walk(self.root) for name in names]
+        found = []
+        for folder, below, names in os.walk(self.root):
+            below[:] = [name for name in below if name not in self.excluded]
+            wanted = [name for name in names if not self.suffixes or name.lower().endswith(self.suffixes)]
+            found += [os.path.relpath(os.path.join(folder, name), self.root) for name in wanted]
         found = sorted((p.replace(os.sep, "/") for p in found), key=lambda p: p.split("/"))
         return [_Paths(self.root, found[i : i + self.per_task]) for i in range(0, len(found), self.per_task)] or [_Paths(self.root, [])]
 
@@ -51,7 +55,11 @@ class _Reader(DataSourceReader):
 
 
 class TreeSource(DataSource):
-    """``spark.read.format("file_tree").load(root)``: path (relative), size, content."""
+    """``spark.read.format("file_tree").load(root)``: path (relative), size, content.
+
+    Folders named in the option ``exclude`` aren't entered, files without one of the ``suffixes`` not
+    read (both comma-separated; without them everything is).
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -61,12 +69,18 @@ class TreeSource(DataSource):
         return "path string, size long, content binary"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], int(self.options.get("filesPerTask", 200)))
+        listed = {name: [v for v in self.options.get(name, "").split(",") if v] for name in ("exclude", "suffixes")}
+        return _Reader(self.options["path"], int(self.options.get("filesPerTask", 200)), set(listed["exclude"]), tuple(listed["suffixes"]))
 
 
-def files(spark: SparkSession, root: str) -> DataFrame:
+def files(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), suffixes: tuple[str, ...] = ()) -> DataFrame:
     spark.dataSource.register(TreeSource)
-    return spark.read.format("file_tree").load(root)
+    return spark.read.format("file_tree").option("exclude", ",".join(exclude)).option("suffixes", ",".join(suffixes)).load(root)
+
+
+def code_tree(spark: SparkSession, root: str) -> DataFrame:
+    """The code files below ``root``; excluded folders aren't entered and other files not read."""
+    return code_files(files(spark, root, CODE_EXCLUDED, tuple(PARSERS)))
 
 
 def _inside(excluded: tuple[str, ...]):
@@ -121,12 +135,14 @@ def changed_files(spark: SparkSession, ref: str, folder: str) -> DataFrame:
 
 
 def environment(lines: DataFrame) -> DataFrame:
-    """key, value of KEY=VALUE lines (columns at, line): comments, blanks and quotes go, the last key wins."""
-    line = F.trim("line")
+    """key, value of KEY=VALUE lines (columns at, line): comments, blanks, quotes and empty keys go, the last key wins."""
+    bare = lambda text: F.regexp_replace(text, r"^\s+|\s+$", "")
+    line = bare(F.col("line"))
     rows = lines.filter((line != "") & ~line.startswith("#") & line.contains("="))
-    key = F.trim(F.substring_index(line, "=", 1))
-    value = F.trim(line.substr(F.instr(line, "=") + 1, F.length(line)))
-    return rows.select(key.alias("key"), F.regexp_replace(value, "^[\"']+|[\"']+$", "").alias("value"), "at").groupBy("key").agg(F.max_by("value", "at").alias("value"))
+    key = bare(F.substring_index(line, "=", 1))
+    value = F.btrim(F.btrim(bare(line.substr(F.instr(line, "=") + 1, F.length(line))), F.lit('"')), F.lit("'"))
+    pairs = rows.select(key.alias("key"), value.alias("value"), "at").filter("key <> ''")
+    return pairs.groupBy("key").agg(F.max_by("value", "at").alias("value"))
 
 
 STATUS = "statuses map<string,array<struct<id:string,doc_id:string,file_path:string,file_source:string,status:string>>>"

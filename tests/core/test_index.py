@@ -1,3 +1,4 @@
+import hashlib
 import subprocess
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators import history, inventory, tables, traverse
 from loomgraph.plans import index
 from loomgraph.sources import tree
+from loomgraph.streaming import sync
 
 FILES = {
     "app.py": "from svc import Service\n\ndef main():\n    s = Service()\n    s.run()\n",
@@ -78,6 +80,71 @@ def test_file_tree_reads_hidden_names_and_drops_folders(spark, tmp_path):
     assert index.parse_files(tree.code_files(files))[0].count() == 3
 
 
+def test_tree_prunes_folders_and_reads_only_code(spark, tmp_path):
+    for name in ("b/z.py", "a.py", "a/x.py", "node_modules/deep/b.py", "doc.md", "B.CLS"):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True, parents=True)
+        path.write_text("x")
+    assert [r.path for r in tree.in_order(tree.code_tree(spark, str(tmp_path))).collect()] == ["B.CLS", "a/x.py", "a.py", "b/z.py"]
+    assert {r.path for r in tree.files(spark, str(tmp_path), ("node_modules",), (".py",)).collect()} == {"b/z.py", "a.py", "a/x.py"}
+
+
+def test_digests_are_of_the_text_and_other_files_are_left_out(spark):
+    bytes_of = {"a.py": b"x = 1\r\ny = 2\n", "README.md": b"# no code", "deep.py": b"x = " + b"(" * 5000 + b")" * 5000, "odd.py": b"a = '\xff'\n"}
+    files = spark.createDataFrame(list(bytes_of.items()), "path string, content binary")
+    graph = index.index(index.empty_graph(spark), files)
+    assert {r.name for r in graph.nodes.collect()} == {"a", "deep", "odd"}
+    digests = {r.file: r.digest for r in graph.file_hashes.collect()}
+    assert set(digests) == {"a.py", "deep.py", "odd.py"} and digests["a.py"] == hashlib.md5(b"x = 1\ny = 2\n").hexdigest()
+    assert digests["odd.py"] == hashlib.md5("a = '\ufffd'\n".encode()).hexdigest()
+
+
+def test_each_file_is_parsed_once(spark):
+    plan = index.index(index.empty_graph(spark), frame(spark, FILES)).edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
+
+
+def test_overlay_leaves_the_durable_graph_alone(spark, graph, tmp_path):
+    folder = f"file://{tmp_path}/graph"
+    index.save(graph, folder)
+    change = {"util.py": "def assist():\n    return 2\n"}
+    paths = spark.createDataFrame([("util.py",)], "file string")
+    first = index.sync_to(spark, folder, frame(spark, change), paths, durable=False).first()
+    assert (first.target, first.snapshot_id, first.files, first.added, first.removed) == ("overlay", 2, 1, 1, 2)
+    second = index.sync_to(spark, folder, frame(spark, FILES), paths, durable=False).first()
+    assert (second.snapshot_id, second.added, second.removed) == (3, 2, 1)
+    assert index.load(spark, folder).snapshots.count() == 1
+    assert index.sync_to(spark, folder, frame(spark, change), paths).first().target == "durable"
+    state = index.state(index.load(spark, folder), "abc").first()
+    assert state.last_snapshot.id == 2 and not state.out_of_sync  # the last snapshot has no commit
+    assert index.state(graph, "abc").first().out_of_sync is False and index.state(graph, "x").first().out_of_sync is True
+    assert index.state(index.empty_graph(spark), "x").first()["last_snapshot"] is None
+
+
+def test_json_lines_come_back_and_clear_keeps_the_log(spark, graph, tmp_path):
+    index.save_json(graph, f"file://{tmp_path}/json")
+    again = index.load_json_lines(spark, f"file://{tmp_path}/json")
+    for name, table in graph._asdict().items():
+        assert sorted(map(str, table.collect())) == sorted(map(str, getattr(again, name).select(*table.columns).collect()))
+    empty = index.clear(graph)
+    assert [t.count() for t in empty] == [0, 0, graph.annotations.count(), 1, 11, 0]
+    assert index.as_text({"ñ": 1}) == '{\n  "ñ": 1\n}'
+
+
+def test_annotations_of_equal_labels_count_with_the_last(spark):
+    notes = spark.createDataFrame([("a", "x", "1", 0), ("a", "x", "2", 1), ("a", "keep", "", 2), ("b", "x", "3", 3)], "node_id string, label string, note string, seq long")
+    found = {r.id: (r.annotations, r.others) for r in inventory.annotation_maps(notes).collect()}
+    assert found == {"a": ({"x": "2", "keep": ""}, ["x"]), "b": ({"x": "3"}, ["x"])}
+    assert {tuple(r) for r in inventory.annotations_of(notes, "a").collect()} == {("a", "x", "2"), ("a", "keep", "")}
+    assert inventory.annotations_of(notes).count() == 3
+
+
+def test_watch_goes_on_while_something_is_readable(spark):
+    polls = [("a", 1, None, 3), ("a", 2, False, 0), ("a", 3, None, 0), ("a", 4, False, None), ("a", 5, False, 0), ("b", 1, True, 1), ("b", 2, None, None)]
+    ended = sync.idle(spark.createDataFrame(polls, "watch string, at int, busy boolean, pending int")).collect()
+    assert {tuple(r) for r in ended} == {("a", 5), ("b", 2)}
+
+
 def test_git(spark, tmp_path):
     run = lambda *a: subprocess.run(["git", "-c", "user.name=a", "-c", "user.email=a@b", *a], cwd=tmp_path, check=True, capture_output=True)
     run("init")
@@ -116,3 +183,14 @@ def test_ledger_commits_only_what_was_applied(spark):
     assert {(r.node_id, r.change) for r in diffs.collect()} == {("Document:a.md", "modified"), ("Document:b.md", "removed"), ("Document:c.md", "added")}
     after = history.commit(ledger, new, diffs.filter("node_id <> 'Document:b.md'"))
     assert {(r.name, r.body_hash) for r in after.collect()} == {("a.md", "2"), ("b.md", "1"), ("c.md", "1")}
+
+
+def test_ledger_of_single_documents(spark):
+    one = history.record_one(history.empty_ledger(spark), "x/a.md", "1", {"commit_sha": "s"})
+    two = history.record_one(history.record_one(one, "y/b.md", "1"), "a.md", "2")
+    assert {(r.file, r.body_hash) for r in two.nodes.collect()} == {("a.md", "2"), ("b.md", "1")}
+    assert [(r.snapshot_id, r.change) for r in history.history_of(two, "z/a.md").collect()] == [(1, "added"), (3, "modified")]
+    assert [r.body_hash for r in history.digest_of(two, "q/b.md").collect()] == ["1"] and history.digest_of(two, "c").collect() == []
+    gone = history.remove_one(history.remove_one(two, "a.md"), "a.md")
+    assert [r.file for r in gone.nodes.collect()] == ["b.md"] and gone.snapshots.count() == 4
+    assert history.document_state(gone).first().last_snapshot.id == 4
