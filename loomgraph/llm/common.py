@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -70,6 +70,32 @@ def by_place(df: DataFrame) -> StructType:
     return StructType([StructField(f"column_{i}", f.dataType, f.nullable) for i, f in enumerate(df.schema)])
 
 
+def tie(row: str, columns: list[str]) -> Column:
+    """A hash of all columns of the struct ``row``, which doesn't depend on how rows are dealt."""
+    others = F.struct(*[F.col(f"{row}.`{c}`") for c in columns if c != "text"])
+    return F.xxhash64(f"{row}.text", F.to_json(others))
+
+
+#: A key is hot above so many rows; no more keys than this many ever count as hot.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with what ``groups`` (unique on ``key``, with the number ``n`` of rows) says of them.
+
+    Hot keys are joined where their rows lie: fewer than total / bound keys have more than bound rows,
+    so what is broadcast is bounded. All others are shuffled. ``groups`` should be a written table.
+    """
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bound = max(HOT_ROWS, total // HOT_KEYS)
+    hot = groups.filter(F.col("n") > bound)
+    if hot.isEmpty():
+        return rows.join(groups, key, how)
+    hot = F.broadcast(hot)
+    cold = rows.join(hot, key, "left_anti").join(groups.filter(F.col("n") <= bound), key, how)
+    return cold.unionByName(rows.join(hot, key))
+
+
 def total_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
 

@@ -7,8 +7,7 @@ run with the same store goes on from that state. Then the full bytes of all rows
 are compared; rows of one digest and different bytes are grouped by their bytes.
 
 Bytes are compared by partial minima and maxima in the tasks that read them, so a digest of very many
-rows is one row per task after it. Digests of more than ``HOT`` rows, at most ``HOT_DIGESTS`` of them,
-are joined to their rows by broadcast, all others by a shuffle.
+rows is one row per task after it. Results are joined to the rows of hot digests by a bounded broadcast.
 """
 
 from __future__ import annotations
@@ -18,13 +17,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import exists, saved, scratch
+from loomgraph.llm.common import exists, join_counted, saved, scratch, tie
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Staged files that one micro-batch takes.
 FILES_PER_BATCH = 1000
-#: A digest is hot above so many rows; no more digests than this many ever count as hot.
-HOT, HOT_DIGESTS = 1000, 10_000
 _FIRST = "struct<none:boolean,doc_id:bigint,tie:bigint,run:int,row_id:bigint>"
 
 
@@ -61,11 +58,10 @@ def add(docs: DataFrame, store: str, digest: Callable[[Column], Column] = sha256
     if exists(spark, f"{store}/arrivals"):
         run = spark.read.parquet(f"{store}/arrivals").agg(F.coalesce(F.max("run") + 1, F.lit(0))).first()[0]
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    others = F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != "text"])
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), row.alias("row"))
     rows = rows.withColumn("body", body()).select(
         F.lit(run).alias("run"), "row_id", F.col("row.doc_id").cast("long").alias("doc_id"), digest(F.col("body")).cast("string").alias("digest"),
-        sha256(F.col("body")).alias("text_sha256"), F.xxhash64("row.text", F.to_json(others)).alias("tie"), "row",
+        sha256(F.col("body")).alias("text_sha256"), tie("row", docs.columns).alias("tie"), "row",
     )
     rows.write.mode("append").option("compression", "zstd").parquet(f"{store}/arrivals")
     _stream(spark, store)
@@ -114,23 +110,13 @@ def decided(spark: SparkSession, store: str) -> DataFrame:
     rows = arrivals.select("run", "row_id", "doc_id", "tie", "digest", "text_sha256")
     out = ("run", "row_id", "doc_id", "text_sha256", "first", "n")
     if collided.isEmpty():
-        return _with_groups(rows, found).select(*out)
-    plain = _with_groups(rows.join(collided, "digest", "left_anti"), found).select(*out)
+        return join_counted(rows, found, ["digest"]).select(*out)
+    plain = join_counted(rows.join(collided, "digest", "left_anti"), found, ["digest"]).select(*out)
     mixed = arrivals.join(collided, "digest", "left_semi").withColumn("body", body())
     by_bytes = mixed.groupBy("digest", "body").agg(least(), F.count("*").alias("n"))
     return plain.unionByName(mixed.join(by_bytes, ["digest", "body"]).select(*out))
 
 
-def _with_groups(rows: DataFrame, found: DataFrame) -> DataFrame:
-    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bound = max(HOT, total // HOT_DIGESTS)  # fewer than total / bound digests have more rows than that
-    hot = found.filter(F.col("n") > bound)
-    if hot.isEmpty():
-        return rows.join(found, "digest")
-    cold = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(found.filter(F.col("n") <= bound), "digest")
-    return cold.unionByName(rows.join(F.broadcast(hot), "digest"))
-
-
 # ---- results
 
 
@@ -157,8 +143,9 @@ def first_copies(docs: DataFrame, store: str | None = None) -> DataFrame:
     """
     spark, store = docs.sparkSession, store or scratch(docs.sparkSession, "dedup")
     add(docs, store)
-    kept = decided(spark, store).filter(_stays()).select("run", "row_id")
-    return spark.read.parquet(f"{store}/arrivals").join(kept, ["run", "row_id"], "left_semi").select("row.*")
+    gone = saved(decided(spark, store).filter(~_stays()).select("run", "row_id"), "dedup-gone")
+    # What goes is the smaller side, whatever the join.
+    return spark.read.parquet(f"{store}/arrivals").join(gone, ["run", "row_id"], "left_anti").select("row.*")
 
 
 def _stays() -> Column:

@@ -14,7 +14,7 @@ is cut into blocks, and pairs of blocks are compared in separate tasks.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bodies, saved, with_bytes
+from loomgraph.llm.common import bodies, join_counted, saved, tie, with_bytes
 from loomgraph.llm.components import connected_components, forest
 
 #: Cells above this many fingerprints are compared block by block.
@@ -110,42 +110,58 @@ def links(fps: DataFrame, distance: int = 3, cell: int = CELL) -> DataFrame:
         "fp",
         F.posexplode(F.array(*[F.col("e").bitwiseAND(F.lit(m)) for m in masks])).alias("grid", "key"),
     )
-    found = saved(_in_cells(cells, ["grid", "key"], distance, cell), "simhash-cells")
+    near = lambda fp, group: _close_pairs(fp[:, 0], group, distance)
+    return cell_links(cells, fps, "fp", ["fp"], near, cell)
+
+
+Near = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def cell_links(cells: DataFrame, fps: DataFrame, key: str, words: list[str], near: Near, cell: int) -> DataFrame:
+    """Forest of links (a, b) between members of one cell.
+
+    ``cells`` has grid, key, and the columns of ``fps``: an identifier and the words of a fingerprint.
+    ``near`` gets fingerprints (one a row) and their ascending groups, and gives places of a spanning
+    forest of the links within groups.
+    """
+    found = saved(_in_cells(cells, ["grid", "key"], key, words, near, cell), "simhash-cells")
     small = found.filter(~F.col("big")).select("a", "b")
-    large = found.filter("big").select(F.col("a").alias("fp"), "grid", "key")
+    large = found.filter("big").select(F.col("a").alias(key), "grid", "key")
     if large.isEmpty():
         return small
     sizes = large.groupBy("grid", "key").agg(F.ceil(F.count("*") / cell).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    mine = F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")
     dealt = (
         large.join(sizes, ["grid", "key"])
-        .select("fp", "grid", "key", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("fp", "grid", "key", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+        .select(key, "grid", "key", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select(key, "grid", "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+        .join(fps, key)
     )
-    return small.union(_in_cells(dealt, ["grid", "key", "lo", "hi"], distance, None).select("a", "b"))
+    return small.union(_in_cells(dealt, ["grid", "key", "lo", "hi"], key, words, near, None).select("a", "b"))
 
 
-def _in_cells(rows: DataFrame, keys: list[str], distance: int, cell: int | None) -> DataFrame:
+def _in_cells(rows: DataFrame, keys: list[str], own: str, words: list[str], near: Near, cell: int | None) -> DataFrame:
     """Links within each group of equal ``keys``; members of groups above ``cell`` come back as big rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held = np.zeros((0, len(keys)), np.int64), np.zeros(0, np.uint64)
+        held_keys, held_ids, held = np.zeros((0, len(keys)), np.int64), np.zeros(0, np.int64), np.zeros((0, len(words)), np.uint64)
         big_key = None
         for batch in batches:
             now = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in keys], axis=1)
-            fp = batch.column("fp").to_numpy().view(np.uint64)
+            fp = np.stack([batch.column(w).to_numpy().view(np.uint64) for w in words], axis=1)
             now, fp = np.concatenate([held_keys, now]), np.concatenate([held, fp])
+            ids = np.concatenate([held_ids, batch.column(own).to_numpy()])
             starts = np.flatnonzero(np.r_[True, (now[1:] != now[:-1]).any(axis=1)])
             last = starts[-1]
             if cell and len(fp) - last > cell:
                 big_key = tuple(now[last])
                 last = len(fp)
-            yield from finish(now[:last], fp[:last], big_key)
-            held_keys, held = now[last:], fp[last:]
+            yield from finish(now[:last], ids[:last], fp[:last], big_key)
+            held_keys, held_ids, held = now[last:], ids[last:], fp[last:]
         if len(held):
-            yield from finish(held_keys, held, big_key)
+            yield from finish(held_keys, held_ids, held, big_key)
 
-    def finish(now: np.ndarray, fp: np.ndarray, big_key: tuple | None) -> Iterator[pa.RecordBatch]:
+    def finish(now: np.ndarray, ids: np.ndarray, fp: np.ndarray, big_key: tuple | None) -> Iterator[pa.RecordBatch]:
         if not len(fp):
             return
         change = np.r_[True, (now[1:] != now[:-1]).any(axis=1)]
@@ -156,14 +172,15 @@ def _in_cells(rows: DataFrame, keys: list[str], distance: int, cell: int | None)
             big |= (now[change] == np.array(big_key)).all(axis=1)
         out = big[group]
         if out.any():
-            yield batch_of(fp[out], fp[out], now[out][:, :2], True)
-        fp, group = fp[~out], group[~out]
-        a, b = _close_pairs(fp, group, distance)
+            yield batch_of(ids[out], ids[out], now[out][:, :2], True)
+        several = ~out & (size > 1)[group]
+        ids, fp, group = ids[several], fp[several], group[several]
+        a, b = near(fp, group)
         if len(a):
-            yield batch_of(fp[a], fp[b], np.zeros((len(a), 2), np.int64), False)
+            yield batch_of(ids[a], ids[b], np.zeros((len(a), 2), np.int64), False)
 
     def batch_of(a: np.ndarray, b: np.ndarray, key: np.ndarray, big: bool) -> pa.RecordBatch:
-        columns = [a.view(np.int64), b.view(np.int64), key[:, 0].astype(np.int32), key[:, 1], np.full(len(a), big)]
+        columns = [a, b, key[:, 0].astype(np.int32), key[:, 1], np.full(len(a), big)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "grid", "key", "big"])
 
     sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys)
@@ -217,21 +234,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
     stay repeated. Other columns of ``docs`` are not read.
     """
     marks = saved(fingerprints(docs, shingle), "simhash-fp")
-    distinct = saved(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    roots = connected_components(saved(links(distinct.select("fp"), distance), "simhash-links"))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("fp", "component_id")
-    return marks.join(classes, "fp").select(
+    distinct = saved(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "simhash-distinct")
+    classes = components(distinct, "fp", links(distinct.select("fp"), distance))
+    return join_counted(marks, classes, ["fp"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def representatives(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their group of near copies.
+def components(distinct: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """``distinct`` with component_id: the least first_id of all that links reach from its ``key``."""
+    roots = connected_components(saved(found, "simhash-links"))
+    rooted = distinct.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
+    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return saved(rooted.join(smallest, "root").drop("root"), "simhash-classes")
+
+
+def one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Of each group of rows of ``docs`` the one with the smallest doc_id (a null is the last choice).
 
-    A row without a doc_id stays if no row of some such group has one. Columns and repeats stay.
+    ``grouped`` gets (doc_id, text), doc_id being a number of the row, and gives doc_id, component_id.
+    Of rows equal in doc_id the least hash of all columns decides. Columns of any name stay.
     """
-    found = near_duplicates(docs, shingle, distance)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay_id"]), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = saved(docs.select(F.monotonically_increasing_id().alias("row_id"), row), "near-rows")
+    found = grouped(rows.select(F.col("row_id").alias("doc_id"), F.col("row.text").alias("text")))
+    own = rows.select("row_id", F.col("row.doc_id").cast("long").alias("doc_id"), tie("row", docs.columns).alias("tie"))
+    keyed = own.join(found.select(F.col("doc_id").alias("row_id"), "component_id"), "row_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "row_id")).alias("first")
+    keyed = saved(keyed, "near-groups")
+    several = keyed.groupBy("component_id").agg(first, F.count("*").alias("n")).filter("n > 1")
+    gone = join_counted(keyed, saved(several, "near-first"), ["component_id"]).filter("row_id <> first.row_id").select("row_id")
+    # What goes is the smaller side, whatever the join.
+    return rows.join(saved(gone, "near-gone"), "row_id", "left_anti").select("row.*")
+
+
+def representatives(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group of ``near_duplicates``."""
+    return one_of_each(docs, lambda rows: near_duplicates(rows, shingle, distance))

@@ -24,12 +24,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.blocks import unpack
-from loomgraph.llm.common import bodies, saved, scratch, shuffle_partitions
+from loomgraph.llm.common import bodies, join_counted, saved, scratch, shuffle_partitions
 
 #: Equal payloads below this many bytes are stored again rather than revisited.
 LEAST_REVISIT = 1000
-#: A payload is hot above so many pages; no more payloads than this many ever count as hot.
-HOT, HOT_PAYLOADS = 1000, 10_000
 ROLL_BYTES = 1 << 30
 SHARD_BYTES = (16 << 20, 2 << 30)
 DATE = "2000-01-01T00:00:00Z"
@@ -121,8 +119,7 @@ def decide(pages: DataFrame) -> DataFrame:
     Groups are rows of equal payload of ``LEAST_REVISIT`` bytes or more; the row with the largest
     page_id is the response. Rows repeated with that page_id are responses too; a null page_id never
     names the response of a group that has another. A null html is an empty payload, hence a response.
-    Short payloads aren't joined to anything; payloads of very many pages, of which there can only be
-    ``HOT_PAYLOADS``, are joined where they lie.
+    Short payloads aren't joined to anything; payloads of very many pages are joined where they lie.
     """
     rows = _pages(pages)
     own = ("page_id", "url", "payload", "mark")
@@ -130,11 +127,7 @@ def decide(pages: DataFrame) -> DataFrame:
     long = rows.filter(F.octet_length("payload") >= LEAST_REVISIT).withColumn("same", F.sha2("payload", 256))
     groups = long.groupBy("same").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1")
     groups = saved(groups, "warc-groups")
-    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bound = max(HOT, total // HOT_PAYLOADS)  # fewer than total / bound groups are larger
-    hot = F.broadcast(groups.filter(F.col("n") > bound))
-    cold = long.join(hot, "same", "left_anti").join(groups.filter(F.col("n") <= bound), "same", "left")
-    joined = cold.unionByName(long.join(hot, "same").select(*cold.columns))
+    joined = join_counted(long, groups, ["same"], "left")
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("response")) & F.col("response").isNotNull(), F.lit(False))
     none = F.lit(None).cast("long")
     return joined.select(*own, F.when(revisit, F.col("response")).alias("response"), revisit.alias("revisit")).unionByName(

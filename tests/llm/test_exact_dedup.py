@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from loomgraph.llm import exact_dedup
+from loomgraph.llm import common, exact_dedup
 
 
 def want(rows):
@@ -52,10 +52,10 @@ def test_new_arrivals_meet_earlier_ones(make_docs, tmp_path):
 
 
 def test_hot_digests(make_docs, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "HOT", 5)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
     rows = [(i, "hot" if i % 2 else f"text {i % 20}") for i in range(60)]
     assert {tuple(r) for r in exact_dedup.exact_duplicates(make_docs(rows)).collect()} == want(rows)
-    monkeypatch.setattr(exact_dedup, "HOT_DIGESTS", 1)
+    monkeypatch.setattr(common, "HOT_KEYS", 1)
     assert {tuple(r) for r in exact_dedup.exact_duplicates(make_docs(rows)).collect()} == want(rows)
 
 

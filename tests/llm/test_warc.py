@@ -3,7 +3,7 @@ import hashlib
 import random
 from pathlib import Path
 
-from loomgraph.llm import warc
+from loomgraph.llm import common, warc
 from loomgraph.llm.common import scratch
 
 SCHEMA = "page_id long, url string, html string"
@@ -66,7 +66,7 @@ def test_repeated_rows_and_null_ids(spark):
 
 
 def test_hot_payloads_and_many_rows_without_an_id(spark, monkeypatch):
-    monkeypatch.setattr(warc, "HOT", 5)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
     monkeypatch.setattr(warc, "SHARD_BYTES", (20_000, 40_000))
     rows = [(i, "u", "h" * 2000 if i % 2 else f"{i % 20:04d}" * 300) for i in range(80)]
     assert {tuple(r) for r in warc.archived_pages(spark.createDataFrame(rows, SCHEMA)).collect()} == want(rows)
