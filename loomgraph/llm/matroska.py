@@ -309,7 +309,8 @@ def read_back(media: DataFrame) -> DataFrame:
     """Digests and features of the payload that lies in the frames of ``media`` (columns of ``mux``).
 
     ``feature`` names packets, clusters, cues that point at a cluster, milliseconds, and mean, least
-    and largest sample.
+    and largest sample. Rows stay as they are, repeated or with a null doc_id; a null or unreadable
+    medium has no packets, so its payload is empty. Other columns are not read.
     """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     names = [x.split()[0] for x in schema.split(", ")]

@@ -55,3 +55,23 @@ def test_packet_table(make_docs, spark):
     assert all(r.timestamp_ns == r.packet * 72_000_000 and r.size == 576 and r.keyframe for r in rows)
     assert {r.cluster for r in rows} == {0, 1}
     assert m.packet_table(spark.createDataFrame([(1, None), (2, bytearray(b"zz"))], "doc_id long, media binary")).collect() == []
+
+
+def test_media_columns_and_clashing_names(spark):
+    names = ["media", "n_bytes", "body", "feature", "a.b"]
+    rows = [(1, "x" * 700), (1, "x" * 700), (None, None), (2, "é" * 40_000)]
+    docs = spark.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    media = m.mux(docs)
+    stored = {r.doc_id: bytes(r.media) for r in media.collect()}
+    got = m.read_back(media).collect()
+    assert len(got) == 4
+    for r in got:
+        own = stored[r.doc_id]
+        assert (r.media_bytes, r.media_sha256) == (len(own), hashlib.sha256(own).hexdigest())
+        payload = want(dict(rows)[r.doc_id])[1]
+        fields = dict(x.split("=") for x in r.feature.split(";"))
+        samples = (dict(rows)[r.doc_id] or "").encode()
+        samples += b"\xff" * (payload - len(samples))
+        assert int(fields["packets"]) == payload // 576 and int(fields["ms"]) == payload // 576 * 72
+        assert (int(fields["min"]), int(fields["max"])) == (min(samples), max(samples)) and float(fields["mean"]) == round(sum(samples) / payload, 4)
+        assert int(fields["clusters"]) == int(fields["cued"]) > 0

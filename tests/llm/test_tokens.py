@@ -97,3 +97,28 @@ def test_an_inner_prefix_may_have_more_tokens_than_fit_a_byte(make_docs):
     assert counts[-1] < 256 <= counts.max()
     for r in token_counts.token_counts(make_docs(list(enumerate(runs))), BYTE, 64).collect():
         assert r.n_tokens == len(library.encode(runs[r.doc_id]).ids)
+
+
+def odd(spark):
+    names = ["ids", "text_sha256", "n_tokens", "body", "n_bytes", "a.b"]
+    rows = [(1, "one two"), (1, "one two"), (None, "one two"), (None, None), (2, ""), (3, "word " * 30_000)]
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names)
+    return spark.createDataFrame([(*r, *names) for r in rows], schema), rows
+
+
+def test_odd_rows_and_clashing_names(spark):
+    docs, rows = odd(spark)
+    word, byte = Tokenizer.from_file(WORD), Tokenizer.from_file(BYTE)
+    size = lambda library, text: len(library.encode(text or "", add_special_tokens=False).ids)
+    order = lambda found: sorted(found, key=str)
+    assert order((r.doc_id, r.n_tokens) for r in bpe_codec.round_trip(docs, WORD).collect()) == order((i, size(word, t)) for i, t in rows)
+    assert order((r.doc_id, r.n_tokens, r.n_bytes) for r in token_counts.token_counts(docs, BYTE).collect()) == order((i, size(byte, t), len(t or "")) for i, t in rows)
+    assert bpe_codec.round_trip(docs.limit(0), WORD).collect() == []
+
+
+def test_what_fits_is_not_cut_short(make_docs):
+    """Of plain words, whose prefixes only grow in tokens, the longest prefix within the limit is found."""
+    rows = [(i, " ".join(["internationalisation", "of", "words"] * n)) for i, n in enumerate((1, 5, 40, 200))]
+    for r in token_counts.token_counts(make_docs(rows), BYTE, 64).collect():
+        counts = token_counts.prefix_counts(BYTE).of_prefixes(rows[r.doc_id][1])
+        assert r.fit_bytes == np.flatnonzero(counts <= 64)[-1]
