@@ -8,6 +8,7 @@ many documents have is one entry per block, so no bucket grows with a hot key's
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -21,9 +22,15 @@ from loomgraph.llm.common import bodies, scratch, shuffle_partitions
 BLOCK_BYTES = 4 << 20
 #: Keys that one bucket holds in a task's memory.
 BUCKET_KEYS = 3_000_000
+#: More buckets than these are reached in two steps.
+ONE_STEP = 4096
+#: Partitions of a shuffle by bucket; with more buckets a partition holds several, in order.
+PARTITIONS = 50_000
 #: Stands for a null doc_id: larger than any other.
 NO_ID = np.iinfo(np.int64).max
 _REST = np.uint64((1 << 40) - 1)
+# Fixed value: an odd multiplier of 64 bits.
+_SPREAD = 0x9E3779B97F4A7C15
 _SCHEMA = "block long, size int, body binary, ids binary, ends binary, carried binary"
 
 
@@ -85,11 +92,16 @@ def make_blocks(docs: DataFrame, size: int = BLOCK_BYTES, carry: list[str] | Non
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body, *[F.col(f"`{c}`").alias(f"carried_{i}") for i, c in enumerate(carry)])
     rows = source.mapInArrow(run, _SCHEMA).withColumn("block", F.shiftleft(F.spark_partition_id().cast("long"), 24) + F.col("block"))
-    spark = docs.sparkSession
-    path = scratch(spark, "blocks")
-    name = path.rsplit("/", 1)[1].replace("-", "_")
-    rows.write.format("parquet").bucketBy(shuffle_partitions(spark), "block").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    return by_block(rows, "blocks")
+
+
+def by_block(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table below the shared folder, bucketed by block."""
+    spark = rows.sparkSession
+    path = scratch(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    rows.write.format("parquet").bucketBy(shuffle_partitions(spark), "block").option("path", path).saveAsTable(table)
+    return spark.table(table)
 
 
 def read_blocks(batch: pa.RecordBatch) -> Iterator[Block]:
@@ -112,12 +124,16 @@ class Keys(NamedTuple):
     place: np.ndarray  # of each given key among the distinct ones
 
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of whole keys: they cut the range of the high 32 bits, so both have one order."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
 def distinct_keys(keys: np.ndarray, buckets: int, whole: bool = False) -> Keys:
     """``whole``: rest is the whole key, so different keys stay apart; else bucket and 40 bits, which only propose."""
     if whole:
-        # The order of the keys is that of their buckets, which cut the range of the high 32 bits.
         found, place, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        return Keys(((found >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), found, counts, place)
+        return Keys(bucket_of(found, buckets), found, counts, place)
     # The bucket comes from the high bits, the rest are 40 bits that are kept whole.
     bucket = ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint64)
     found, place, counts = np.unique(bucket << np.uint64(40) | keys & _REST, return_inverse=True, return_counts=True)
@@ -152,56 +168,128 @@ def unpack_sorted(data: bytes, width: int = 5) -> np.ndarray:
     return np.cumsum(steps.reshape(-1).view("<u8"))
 
 
-def counted(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], buckets: int, whole: bool = False) -> DataFrame:
-    """``blocks`` with ``totals``: (bucket, packed counts over all blocks) of its distinct keys.
+def _rows(bucket: np.ndarray, block: int, rests: np.ndarray, counts: np.ndarray, width: int) -> pa.RecordBatch:
+    """One row per bucket of ascending keys."""
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, int)
+    parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+    columns = [
+        pa.array(bucket[cuts[:-1]].astype(np.int32)),
+        pa.array(np.full(len(parts), block)),
+        pa.array([pack_sorted(rests[a:b], width) for a, b in parts], pa.binary()),
+        pa.array([pack(counts[a:b]) for a, b in parts], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, _ASKED_NAMES)
 
-    ``keys_of`` gives a block's keys (64 bits, repeats included). ``totals_of`` reads the answers.
-    ``whole`` is that of ``distinct_keys``.
-    """
-    width = 8 if whole else 5
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in read_blocks(batch):
-                own = distinct_keys(keys_of(block), buckets, whole)
-                cuts = np.flatnonzero(np.r_[True, own.bucket[1:] != own.bucket[:-1], True]) if len(own.bucket) else np.zeros(1, int)
-                counts = own.counts.astype("<u4")
-                parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-                columns = [
-                    pa.array(own.bucket[cuts[:-1]].astype(np.int32)),
-                    pa.array(np.full(len(parts), block.number)),
-                    pa.array([pack_sorted(own.rest[a:b], width) for a, b in parts], pa.binary()),
-                    pa.array([pack(counts[a:b]) for a, b in parts], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "rests", "counts"])
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_ASKED = "bucket int, block long, rests binary, counts binary"
+_ASKED_NAMES = ["bucket", "block", "rests", "counts"]
+_Held = list[tuple[int, bytes, bytes]]  # block, rests, counts
+
+
+def _per_bucket(asked: DataFrame, buckets: int, merge: Callable[[int, _Held], pa.RecordBatch], schema: str) -> DataFrame:
+    """``merge`` of all rows of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
             values = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bodies(batch.column(2)), bodies(batch.column(3)))
             for bucket, block, rests, counts in values:
                 if bucket != now and held:
-                    yield totals(now, held)
+                    yield merge(now, held)
                     held = []
                 now = bucket
                 held.append((block, rests, counts))
         if held:
-            yield totals(now, held)
+            yield merge(now, held)
 
-    def totals(bucket: int, held: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    if buckets <= PARTITIONS:
+        dealt = asked.repartitionById(buckets, "bucket")
+    else:
+        place = F.floor(F.col("bucket").cast("long") * PARTITIONS / buckets).cast("int")
+        dealt = asked.repartitionById(PARTITIONS, place).sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, schema)
+
+
+def _answers(asked: DataFrame, buckets: int, width: int, kind: str) -> DataFrame:
+    """For each row of ``asked`` the counts of its keys over all rows of its bucket."""
+
+    def totals(bucket: int, held: _Held) -> pa.RecordBatch:
         keys = [unpack_sorted(r, width) for _, r, _ in held]
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.concatenate([unpack(c, "<u4") for _, _, c in held])
+        counts = np.concatenate([unpack(c, kind) for _, _, c in held])
         total = np.bincount(place, counts).astype("<u8")[place]
         ends = np.cumsum([len(k) for k in keys])
         parts = [pack(x) for x in np.split(total, ends[:-1])]
         columns = [pa.array([b for b, _, _ in held], pa.int64()), pa.array(np.full(len(held), bucket, np.int32)), pa.array(parts, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["block", "bucket", "totals"])
 
-    asked = blocks.mapInArrow(ask, "bucket int, block long, rests binary, counts binary")
-    dealt = asked.repartitionById(buckets, "bucket")
-    answers = dealt.mapInArrow(answer, "block long, bucket int, totals binary")
-    return joined(blocks, answers, "totals")
+    return _per_bucket(asked, buckets, totals, "block long, bucket int, totals binary")
+
+
+def counted(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], buckets: int, whole: bool = False) -> DataFrame:
+    """``blocks`` with ``totals``: (bucket, packed counts over all blocks) of its distinct keys.
+
+    ``keys_of`` gives a block's keys (64 bits, repeats included). ``totals_of`` reads the answers.
+    ``whole`` is that of ``distinct_keys``.
+    """
+    if buckets > ONE_STEP:
+        return joined(blocks, _answers_in_two_steps(blocks, keys_of, buckets, whole), "totals")
+    width = 8 if whole else 5
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in read_blocks(batch):
+                own = distinct_keys(keys_of(block), buckets, whole)
+                yield _rows(own.bucket, block.number, own.rest, own.counts.astype("<u4"), width)
+
+    return joined(blocks, _answers(blocks.mapInArrow(ask, _ASKED), buckets, width, "<u4"), "totals")
+
+
+_UNIT = "block long, keys binary, counts binary, blocks binary, sizes binary, places binary"
+
+
+def _answers_in_two_steps(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], buckets: int, whole: bool) -> DataFrame:
+    """Counts of the blocks' keys by range of buckets, through units of a range and a group of blocks."""
+    ranges = math.isqrt(buckets - 1) + 1
+    groups = -(-buckets // ranges)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in read_blocks(batch):
+                own = distinct_keys(keys_of(block), buckets, whole)
+                keys = own.rest if whole else own.bucket.astype(np.uint64) << np.uint64(40) | own.rest
+                group = (block.number * _SPREAD % (1 << 64) >> 32) % groups
+                yield _rows(own.bucket * ranges // buckets * groups + group, block.number, keys, own.counts.astype("<u4"), 8)
+
+    def unit(number: int, held: _Held) -> pa.RecordBatch:
+        keys = [unpack_sorted(r, 8) for _, r, _ in held]
+        found, place = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([unpack(c, "<u4") for _, _, c in held])).astype("<u8")
+        members, sizes = np.array([b for b, _, _ in held], "<i8"), np.array([len(k) for k in keys], "<u4")
+        values = [pack_sorted(found, 8), *map(pack, (counts, members, sizes, place.astype("<u4")))]
+        columns = [pa.array([number], pa.int64()), *[pa.array([v], pa.binary()) for v in values]]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _UNIT.split(", ")])
+
+    def ask_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, packed, counts in zip(batch.column("block").to_pylist(), bodies(batch.column("keys")), bodies(batch.column("counts"))):
+                keys = unpack_sorted(packed, 8)
+                bucket = bucket_of(keys, buckets) if whole else (keys >> np.uint64(40)).astype(np.int64)
+                yield _rows(bucket, number, keys, unpack(counts, "<u8"), 8)
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch.column("block").to_pylist()
+            packed = zip(*[bodies(batch.column(c)) for c in ("blocks", "sizes", "places")])
+            for number, values, parts in zip(numbers, packed, lists(batch, "totals")):
+                members, sizes, place = (unpack(v, kind) for v, kind in zip(values, ("<i8", "<u4", "<u4")))
+                total = np.split(totals_of(parts)[place], np.cumsum(sizes)[:-1])
+                columns = [pa.array(members), pa.array(np.full(len(members), number // groups, np.int32)), pa.array([pack(t) for t in total], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", "totals"])
+
+    units = by_block(_per_bucket(blocks.mapInArrow(ask, _ASKED), ranges * groups, unit, _UNIT), "units")
+    answers = _answers(units.mapInArrow(ask_again, _ASKED), buckets, 8, "<u8")
+    return joined(units, answers, "totals").mapInArrow(back, "block long, bucket int, totals binary")
 
 
 def joined(blocks: DataFrame, answers: DataFrame, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from loomgraph.llm import lm_scoring, queries
+from loomgraph.llm import blocks, lm_scoring, queries
 
 
 def want(rows, order=3, alpha=0.4):
@@ -42,6 +42,18 @@ def test_against_brute_force(make_docs, monkeypatch, order):
         assert g[:3] == w[:3] and g[3] == pytest.approx(w[3], abs=1e-3)
 
 
+@pytest.mark.parametrize("partitions", [5, 100])
+def test_counting_in_two_steps(make_docs, monkeypatch, partitions):
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(blocks, "BUCKET_KEYS", 1500)  # 31 buckets
+    monkeypatch.setattr(blocks, "ONE_STEP", 2)
+    monkeypatch.setattr(blocks, "PARTITIONS", partitions)
+    got = lm_scoring.score(make_docs(ROWS).repartition(3)).collect()
+    got = sorted(map(tuple, got), key=lambda r: (r[0] is None, r[0] or 0))
+    for g, w in zip(got, want(ROWS), strict=True):
+        assert g[:3] == w[:3] and g[3] == pytest.approx(w[3], abs=1e-3)
+
+
 def test_sql_gives_the_same(make_docs):
     rows = [r for r in ROWS if r[0]]
     documents = make_docs(rows).toPandas()  # noqa: F841  read by name
