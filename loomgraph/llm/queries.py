@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe_codec, exact_dedup, language_id, lm_scoring, matroska, packing, repeats, simhash, token_counts, warc
+from loomgraph.llm import bpe_codec, collocations, exact_dedup, language_id, lm_scoring, matroska, packing, repeats, simhash, token_counts, warc
 from loomgraph.llm.common import documents
 
 
@@ -136,6 +136,39 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+OP11_ORACLE = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, doc, unnest(ps) AS piece, unnest(range(len(ps))) AS pi FROM (SELECT *, regexp_extract_all(t, '[^.,;:!?\x0A-\x0D]+') AS ps FROM d)),
+w AS (SELECT lang, doc, pi, unnest(ws) AS w1, unnest(range(len(ws))) AS i FROM (SELECT *, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p)),
+t AS (SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY doc, pi ORDER BY i)),
+n AS (SELECT lang, count(*) AS n FROM t GROUP BY lang),
+f1 AS (SELECT lang, w1, count(*) AS f FROM t GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM t WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM t WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+c2 AS (
+  SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, x.f AS l, y.f AS r, 1000000 * f2.f::HUGEINT * f2.f // (x.f::HUGEINT * y.f) AS score
+  FROM f2 JOIN f1 AS x ON x.lang = f2.lang AND x.w1 = f2.w1 JOIN f1 AS y ON y.lang = f2.lang AND y.w1 = f2.w2
+  WHERE NOT EXISTS (FROM f3 WHERE f3.lang = f2.lang AND f3.w1 = f2.w1 AND f3.w2 = f2.w2 AND 100 * f3.f >= 50 * f2.f)
+    AND NOT EXISTS (FROM f3 WHERE f3.lang = f2.lang AND f3.w2 = f2.w1 AND f3.w3 = f2.w2 AND 100 * f3.f >= 50 * f2.f)),
+c3 AS (
+  SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3 AS phrase, f3.f AS a, x.f AS l1, q.f AS r1, p.f AS l2, z.f AS r2,
+    1000000 * f3.f::HUGEINT * f3.f // (x.f::HUGEINT * q.f) AS s1, 1000000 * f3.f::HUGEINT * f3.f // (p.f::HUGEINT * z.f) AS s2
+  FROM f3 JOIN f1 AS x ON x.lang = f3.lang AND x.w1 = f3.w1 JOIN f1 AS z ON z.lang = f3.lang AND z.w1 = f3.w3
+  JOIN f2 AS p ON p.lang = f3.lang AND p.w1 = f3.w1 AND p.w2 = f3.w2 JOIN f2 AS q ON q.lang = f3.lang AND q.w1 = f3.w2 AND q.w2 = f3.w3),
+c AS (
+  SELECT lang, phrase, a, l, r, score FROM c2
+  UNION ALL SELECT lang, phrase, a, if(s2 < s1, l2, l1), if(s2 < s1, r2, r1), least(s1, s2) FROM c3),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM c)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM k JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_repeat_removal": op2_repeat_removal,
@@ -147,6 +180,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_matroska_media": op9_matroska_media,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_collocations": op11_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -154,4 +188,5 @@ ORACLES: dict[str, str] = {
     "op2_repeat_removal": OP2_ORACLE,
     "op4_exact_dedup": OP4_ORACLE,
     "op7_warc": OP7_ORACLE,
+    "op11_collocations": OP11_ORACLE,
 }
