@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bodies, scratch, shuffle_partitions
+from loomgraph.llm.common import bodies, saved, scratch, shuffle_partitions
 
 BLOCK_BYTES = 4 << 20
 #: Keys that one bucket holds in a task's memory.
@@ -89,7 +89,7 @@ def make_blocks(docs: DataFrame, size: int = BLOCK_BYTES, carry: list[str] | Non
                 writer.write_batch(part)
         return sink.getvalue().to_pybytes()
 
-    body = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body")
+    body = F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body, *[F.col(f"`{c}`").alias(f"carried_{i}") for i, c in enumerate(carry)])
     rows = source.mapInArrow(run, _SCHEMA).withColumn("block", F.shiftleft(F.spark_partition_id().cast("long"), 24) + F.col("block"))
     return by_block(rows, "blocks")
@@ -226,14 +226,15 @@ def _answers(asked: DataFrame, buckets: int, width: int, kind: str) -> DataFrame
     return _per_bucket(asked, buckets, totals, "block long, bucket int, totals binary")
 
 
-def counted(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], buckets: int, whole: bool = False) -> DataFrame:
+def counted(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], buckets: int, whole: bool = False, keep: bool = False) -> DataFrame:
     """``blocks`` with ``totals``: (bucket, packed counts over all blocks) of its distinct keys.
 
     ``keys_of`` gives a block's keys (64 bits, repeats included). ``totals_of`` reads the answers.
-    ``whole`` is that of ``distinct_keys``.
+    ``whole`` is that of ``distinct_keys``. ``keep`` writes the answers, for results read more than once.
     """
+    hold = (lambda answers: saved(answers, "answers")) if keep else (lambda answers: answers)
     if buckets > ONE_STEP:
-        return joined(blocks, _answers_in_two_steps(blocks, keys_of, buckets, whole), "totals")
+        return joined(blocks, hold(_answers_in_two_steps(blocks, keys_of, buckets, whole)), "totals")
     width = 8 if whole else 5
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +243,7 @@ def counted(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], buckets:
                 own = distinct_keys(keys_of(block), buckets, whole)
                 yield _rows(own.bucket, block.number, own.rest, own.counts.astype("<u4"), width)
 
-    return joined(blocks, _answers(blocks.mapInArrow(ask, _ASKED), buckets, width, "<u4"), "totals")
+    return joined(blocks, hold(_answers(blocks.mapInArrow(ask, _ASKED), buckets, width, "<u4")), "totals")
 
 
 _UNIT = "block long, keys binary, counts binary, blocks binary, sizes binary, places binary"

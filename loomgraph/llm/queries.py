@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe_codec, collocations, exact_dedup, language_id, lm_scoring, matroska, packing, repeats, simhash, token_counts, warc
+from loomgraph.llm import alignment, bpe_codec, collocations, exact_dedup, language_id, lm_scoring, matroska, packing, repeats, simhash, token_counts, warc
 from loomgraph.llm.common import documents
 
 
@@ -169,6 +169,10 @@ SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM k JOIN n USIN
 """
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_repeat_removal": op2_repeat_removal,
@@ -181,6 +185,7 @@ QUERIES = {
     "op9_matroska_media": op9_matroska_media,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_collocations": op11_collocations,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
