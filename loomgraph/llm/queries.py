@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import alignment, bpe_codec, collocations, exact_dedup, language_id, lm_scoring, matroska, packing, repeats, simhash, token_counts, warc
+from loomgraph.llm import alignment, bpe_codec, collocations, exact_dedup, language_id, lm_scoring, matroska, packing, personal_data, repeats, simhash, token_counts, warc
 from loomgraph.llm.common import documents
 
 
@@ -173,6 +173,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_repeat_removal": op2_repeat_removal,
@@ -186,6 +190,7 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_collocations": op11_collocations,
     "op12_token_alignment": op12_token_alignment,
+    "op13_personal_data": op13_personal_data,
 }
 
 ORACLES: dict[str, str] = {
