@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -32,7 +34,9 @@ from loomgraph.llm.bpe import byte_characters
 from loomgraph.llm.common import bodies
 
 #: Words of one stretch, and distinct words (and their characters) that a task keeps.
-STRETCH, CACHE_WORDS, CACHE_CHARS = 100_000, 500_000, 32 << 20
+STRETCH, CACHE_WORDS, CACHE_CHARS = 100_000, 250_000, 16 << 20
+#: Words that go to a library at once, which holds much more of each than its ids.
+ENCODED = 5_000
 #: Tokens that the machine takes at once.
 AT_ONCE = 1_000_000
 # What no stretch begins after. White space and what resembles it, in one or the other tokenizer.
@@ -74,9 +78,11 @@ class Side:
         else:
             from tokenizers import Tokenizer
 
+            # A task has one core; the library would start a thread for each of the machine's.
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
             model = Tokenizer.from_file(path)
             model.encode_special_tokens = True
-            self.encode = lambda words: [e.ids for e in model.encode_batch([f" {w}" for w in words], add_special_tokens=False)]
+            self.encode = lambda words: [e.ids for e in model.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)]
             back = {c: b for b, c in enumerate(byte_characters())}
             spec = json.load(open(path, encoding="utf-8"))
             names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: "" for t in spec["added_tokens"]}
@@ -110,20 +116,36 @@ class Known:
             self.clear()
             new = list(words)
         self.chars += sum(map(len, new))
-        right = np.ones(len(new), bool)
-        for k, own in enumerate(self.sides):
-            found = own.encode(new) if new else []
-            name = own.bytes.__getitem__
-            right &= np.fromiter((b"".join(map(name, ids)) == b" " + w.encode() for w, ids in zip(new, found)), bool, len(new))
-            size = np.fromiter(map(len, found), np.int64, len(new))
-            self.start[k] = np.r_[self.start[k], len(self.flat[k]) + np.cumsum(size) - size]
-            self.size[k] = np.r_[self.size[k], size]
-            self.flat[k] = np.r_[self.flat[k], np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))]
-        self.right = np.r_[self.right, right]
+        right, sizes, flat = [], [[], []], [[], []]
+        for low in range(0, len(new), ENCODED):
+            part = new[low : low + ENCODED]
+            ok = np.ones(len(part), bool)
+            for k, own in enumerate(self.sides):
+                found = own.encode(part)
+                name = own.bytes.__getitem__
+                ok &= np.fromiter((b"".join(map(name, ids)) == b" " + w.encode() for w, ids in zip(part, found)), bool, len(part))
+                sizes[k].append(np.fromiter(map(len, found), np.int64, len(part)))
+                flat[k].append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[k][-1].sum())))
+            right.append(ok)
+        if new:
+            self.right = np.concatenate([self.right, *right])
+            for k in (0, 1):
+                size = np.concatenate(sizes[k])
+                self.start[k] = np.concatenate([self.start[k], len(self.flat[k]) + np.cumsum(size) - size])
+                self.size[k] = np.concatenate([self.size[k], size])
+                self.flat[k] = np.concatenate([self.flat[k], *flat[k]])
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
 
-    def ids(self, k: int, words: np.ndarray) -> np.ndarray:
-        return self.flat[k][_places(self.start[k][words], self.size[k][words])]
+    def ids(self, k: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and where those of each word end."""
+        size = self.size[k][words]
+        return self.flat[k][_places(self.start[k][words], size)], np.cumsum(size)
+
+
+@lru_cache(maxsize=1)
+def known_words(a: str, b: str) -> Known:
+    """Kept by a Python worker from task to task."""
+    return Known((side(a), side(b)))
 
 
 def _pack(ids: np.ndarray) -> bytes:
@@ -150,7 +172,7 @@ def events(docs: DataFrame, a: str, b: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known((side(a), side(b)))
+        known = known_words(a, b)
         for batch in batches:
             held, size = [], 0
             for row, doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bodies(batch.column(2))):
@@ -164,18 +186,25 @@ def events(docs: DataFrame, a: str, b: str) -> DataFrame:
 
     def of(known: Known, held: list[tuple]) -> pa.RecordBatch:
         known.learn({w for _, _, words in held for w in words})
-        out = []
-        for row, doc_id, words in held:
-            index = np.fromiter(map(known.index.__getitem__, words), np.int64, len(words))
-            if not len(index) or not known.right[index].all():
+        counts = [len(words) for _, _, words in held]
+        index = np.fromiter(map(known.index.__getitem__, chain.from_iterable(words for _, _, words in held)), np.int64, sum(counts))
+        wrong = np.r_[0, np.cumsum(~known.right[index])]
+        found = [known.ids(k, index) for k in (0, 1)]
+        ends = [np.r_[0, e] for _, e in found]
+        bytes_a = np.r_[0, np.cumsum(known.sides[0].lengths[found[0][0]])]
+        out, low = [], 0
+        for (row, doc_id, _), n in zip(held, counts):
+            high = low + n
+            if not n or wrong[high] > wrong[low]:
                 out.append((row, doc_id, 0, 0, _pack(np.zeros(0, np.uint32))))
+                low = high
                 continue
-            at = 0
-            for low in range(0, len(index), STRETCH):
-                part = index[low : low + STRETCH]
-                ids = [known.ids(k, part) for k in (0, 1)]
-                out += [(row, doc_id, at, k, _pack(ids[k])) for k in (0, 1)]
-                at += int(known.sides[0].lengths[ids[0]].sum())
+            first = bytes_a[ends[0][low]]
+            for a in range(low, high, STRETCH):
+                b = min(a + STRETCH, high)
+                at = int(bytes_a[ends[0][a]] - first)
+                out += [(row, doc_id, at, k, _pack(found[k][0][ends[k][a] : ends[k][b]])) for k in (0, 1)]
+            low = high
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["row", "doc_id", "at", "side", "ids"])
 
