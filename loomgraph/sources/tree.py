@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from loomgraph.functions import scalar
-from loomgraph.functions.parse import PARSERS
+from loomgraph.functions.languages import PARSERS
 
 # Folders that hold no code or documents of the user's, and suffixes of documents.
 _ALWAYS = (
