@@ -24,4 +24,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from loomgraph.plans import document_queries, graph_queries  # noqa: E402, F401  they register themselves
+from loomgraph.plans import document_queries, graph_queries, language_queries  # noqa: E402, F401  they register themselves
