@@ -42,18 +42,32 @@ AT_ONCE = 1_000_000
 # What no stretch begins after. White space and what resembles it, in one or the other tokenizer.
 _SPACES = [(0, 0x20), (0x7F, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x206F), (0x2581, 0x2581), (0x3000, 0x3000), (0xFEFF, 0xFEFF)]
 _UNSAFE = "".join(f"\\U{low:08x}-\\U{high:08x}" for low, high in _SPACES)
-_BEGINS = re.compile(f"(?<=[^{_UNSAFE}]) ")
+_BEGINS = re.compile(f"(?<=[^{_UNSAFE}])(?= )")
 _JOINS = re.compile(f"[{_UNSAFE}] ")
+#: Signs before which a word is cut if it ends in a letter and no token of either side has a letter before the sign.
+SIGNS = ",.;:!?"
+# Code points that are letters to both tokenizers.
+_LETTERS = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f"
 #: An odd multiplier of 64 bits: pairs are dealt by their product with it, which keeps them apart.
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def stretches(text: str) -> list[str]:
-    """A space and ``text``, cut before spaces that follow a visible character; each without its first space."""
-    if text.startswith(" ") or _JOINS.search(text):
+@lru_cache(maxsize=4)
+def _words(signs: str) -> re.Pattern:
+    """A space and what follows up to a sign after a letter, or up to the next space; a sign and what follows."""
+    if not signs:
+        return re.compile(" [^ ]*")
+    own = re.escape(signs)
+    return re.compile(f" [^ {own}]*+(?<=[{_LETTERS}])(?=[{own}])|[ {own}][^ ]*")
+
+
+def stretches(text: str, signs: str = "") -> list[str]:
+    """A space and ``text``, cut before spaces that follow a visible character, and before ``signs`` that follow a letter."""
+    text = f" {text}"
+    if text.startswith("  ") or _JOINS.search(text, 1):
         return _BEGINS.split(text)
-    return text.split(" ")
+    return _words(signs).findall(text)
 
 
 def _places(low: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -63,7 +77,7 @@ def _places(low: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Side:
-    """One tokenizer: ids of words (a space before each), and the bytes of each id."""
+    """One tokenizer: ids of words, the bytes of each id, and the signs that it joins to letters."""
 
     def __init__(self, path: str):
         if path.endswith(".model"):
@@ -71,8 +85,14 @@ class Side:
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             alone = model.piece_to_id("▁")
-            # The library puts the space before; an empty text gives nothing.
-            self.encode = lambda words: [ids if w else [alone] for w, ids in zip(words, model.encode(words, num_threads=1))]
+            # The library puts a space before and gives nothing for an empty text.
+            before = len(model.encode("a"))
+
+            def encode(words: list[str]) -> list[list[int]]:
+                found = model.encode([w[1:] if w[0] == " " else f"a{w}" for w in words], num_threads=1)
+                return [[alone] if w == " " else ids if w[0] == " " else ids[before:] for w, ids in zip(words, found)]
+
+            self.encode = encode
             pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
             self.bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         else:
@@ -82,12 +102,14 @@ class Side:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             model = Tokenizer.from_file(path)
             model.encode_special_tokens = True
-            self.encode = lambda words: [e.ids for e in model.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)]
+            self.encode = lambda words: [e.ids for e in model.encode_batch_fast(words, add_special_tokens=False)]
             back = {c: b for b, c in enumerate(byte_characters())}
             spec = json.load(open(path, encoding="utf-8"))
             names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: "" for t in spec["added_tokens"]}
             self.bytes = [bytes(back[c] for c in names.get(i, "")) for i in range(max(names) + 1)]
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
+        joined = re.compile(f"[{_LETTERS}]([{re.escape(SIGNS)}])")
+        self.joins = {c for b in self.bytes for c in joined.findall(b.decode("utf-8", "replace"))}
 
 
 @lru_cache(maxsize=4)
@@ -100,6 +122,7 @@ class Known:
 
     def __init__(self, sides: tuple[Side, Side]):
         self.sides = sides
+        self.signs = "".join(c for c in SIGNS if not any(c in s.joins for s in sides))
         self.clear()
 
     def clear(self) -> None:
@@ -110,11 +133,21 @@ class Known:
         self.size = [np.zeros(0, np.int64)] * 2
         self.flat = [np.zeros(0, np.uint32)] * 2
 
+    def keep(self, words: set[str]) -> None:
+        """Forget all but ``words``, which are the frequent ones among what is known."""
+        held = list(words & self.index.keys())
+        at = np.fromiter(map(self.index.__getitem__, held), np.int64, len(held))
+        found = [self.ids(k, at) for k in (0, 1)]
+        right, size = self.right[at], [self.size[k][at] for k in (0, 1)]
+        self.clear()
+        self.index, self.chars, self.right, self.size = dict(zip(held, range(len(held)))), sum(map(len, held)), right, size
+        self.start, self.flat = [ends - n for (_, ends), n in zip(found, size)], [ids for ids, _ in found]
+
     def learn(self, words: set[str]) -> None:
         new = list(words - self.index.keys())
         if len(self.index) + len(new) > CACHE_WORDS or self.chars > CACHE_CHARS:
-            self.clear()
-            new = list(words)
+            self.keep(words)
+            new = list(words - self.index.keys())
         self.chars += sum(map(len, new))
         right, sizes, flat = [], [[], []], [[], []]
         for low in range(0, len(new), ENCODED):
@@ -123,7 +156,7 @@ class Known:
             for k, own in enumerate(self.sides):
                 found = own.encode(part)
                 name = own.bytes.__getitem__
-                ok &= np.fromiter((b"".join(map(name, ids)) == b" " + w.encode() for w, ids in zip(part, found)), bool, len(part))
+                ok &= np.fromiter((b"".join(map(name, ids)) == w.encode() for w, ids in zip(part, found)), bool, len(part))
                 sizes[k].append(np.fromiter(map(len, found), np.int64, len(part)))
                 flat[k].append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[k][-1].sum())))
             right.append(ok)
@@ -176,7 +209,7 @@ def events(docs: DataFrame, a: str, b: str) -> DataFrame:
         for batch in batches:
             held, size = [], 0
             for row, doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bodies(batch.column(2))):
-                held.append((row, doc_id, stretches(body.decode()) if body else []))
+                held.append((row, doc_id, stretches(body.decode(), known.signs) if body else []))
                 size += len(body)
                 if size > 2_000_000:
                     yield of(known, held)

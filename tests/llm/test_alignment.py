@@ -1,6 +1,8 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -54,7 +56,7 @@ TEXTS = [
     "The quick brown fox jumps over the lazy dog.", "the the the quick", "", None, " ", "   ", "a", " leading and trailing ",
     "two  spaces and   three\n\nlines\n next\t tab", "Größe für alle, naïve façade. L'été d'où l'on vient", "日本語のテキスト 日本語", "\U0001f600 \U0001f469‍\U0001f469 ok",
     "literal ▁ stroke", "special <|endoftext|> and <s> and <unk> text", "don't we'll 's 12345 67,8.90", "x" * 3000, "é combininǵ marks",
-    " non breaking   wide ​ zero", "end\r\n", "nul\x00 byte \x1c sep", "The quick brown fox jumps over the lazy dog.", "word " * 500,
+    " non breaking   wide ​ zero", "end\r\n", "Word,word;x.y ... a,b!?.c 3.14,15 ,lead :-) a_,b ².c Ünï.é, it's.", "nul\x00 byte \x1c sep", "The quick brown fox jumps over the lazy dog.", "word " * 500,
 ]
 
 
@@ -72,6 +74,26 @@ def test_equals_brute_force_on_documents(spark):
     assert sorted(map(tuple, got)) == sorted(brute([tuple(r) for r in docs.collect()]))
 
 
+def test_words_are_encoded_alone_as_in_the_text(monkeypatch):
+    """Random texts of awkward characters; the table of words overflows all the time."""
+    monkeypatch.setattr(alignment, "CACHE_WORDS", 50)
+    known = alignment.Known((alignment.side(A), alignment.side(B)))
+    t, s = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+    t.encode_special_tokens = True
+    draw = random.Random(2)
+    pieces = ["a", "the", " ", " ", " ", ",", ".", ";", "!", "?", ":", "\n", "\t", "'s", "_", "1", "42", "é", "ß", "\u4e2d", "\u0301", "-", '"', "(", "\u00d7", "\u200b", "Qu", "ion"]
+    assert known.signs == ",.;:!?"
+    for _ in range(3000):
+        text = "".join(draw.choices(pieces, k=draw.randrange(1, 30)))
+        words = alignment.stretches(text, known.signs)
+        assert "".join(words) == " " + text
+        known.learn(set(words))
+        index = np.array([known.index[w] for w in words])
+        if known.right[index].all():
+            assert known.ids(0, index)[0].tolist() == t.encode(" " + text, add_special_tokens=False).ids, text
+            assert known.ids(1, index)[0].tolist() == s.encode(text), text
+
+
 def test_empty_table_and_clashing_columns(spark, make_docs):
     assert alignment.align(make_docs([(1, "a")]).limit(0), A, B).collect() == []
     docs = make_docs([(1, "a b"), (2, None)])
