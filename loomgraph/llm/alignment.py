@@ -144,10 +144,10 @@ class Known:
         self.start, self.flat = [ends - n for (_, ends), n in zip(found, size)], [ids for ids, _ in found]
 
     def learn(self, words: set[str]) -> None:
-        new = list(words - self.index.keys())
+        new = [w for w in words if w not in self.index]
         if len(self.index) + len(new) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self.keep(words)
-            new = list(words - self.index.keys())
+            new = [w for w in words if w not in self.index]
         self.chars += sum(map(len, new))
         right, sizes, flat = [], [[], []], [[], []]
         for low in range(0, len(new), ENCODED):

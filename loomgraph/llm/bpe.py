@@ -11,9 +11,7 @@ from __future__ import annotations
 
 import json
 import re
-import sys
-import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 #: Words kept with their encodings before the table starts anew; bounds a task's memory.
@@ -171,25 +169,34 @@ def vocabulary(path: str) -> Vocabulary:
 
 @lru_cache(maxsize=1)
 def classes() -> tuple[str, str, str]:
-    """Ranges, for use within [], of letters, numbers and white space of Unicode."""
-    kinds = {"L": [], "N": []}
-    for i in range(sys.maxunicode + 1):
-        major = unicodedata.category(chr(i))[0]
-        if major in kinds:
-            kinds[major].append(i)
-
-    def ranges(points: list[int]) -> str:
-        out, first, prev = [], points[0], points[0]
-        for p in [*points[1:], -1]:
-            if p != prev + 1:
-                out.append(f"\\U{first:08x}-\\U{prev:08x}")
-                first = p
-            prev = p
-        return "".join(out)
-
-    # The code points with the property White_Space.
-    space = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-    return ranges(kinds["L"]), ranges(kinds["N"]), space
+    """Ranges, for use within [], of letters, numbers and white space, as the library's patterns have them.
+
+    Python's own tables are of another version of Unicode. Planes without characters, and those for
+    private use, hold none of the three.
+    """
+    from tokenizers import Regex, pre_tokenizers
+
+    points = [i for i in [*range(0x40000), *range(0xE0000, 0xE1000)] if not 0xD800 <= i < 0xE000]
+    text = "".join(map(chr, points))
+
+    def ranges(others: str) -> str:
+        found = pre_tokenizers.Split(Regex(others), "removed").pre_tokenize_str(text)
+        return "".join(f"\\U{points[low]:08x}-\\U{points[high - 1]:08x}" for _, (low, high) in found)
+
+    return ranges(r"[^\p{L}]+"), ranges(r"[^\p{N}]+"), ranges(r"[^\s]+")
+
+
+@lru_cache(maxsize=1)
+def _library_normal() -> Callable[[str], str]:
+    from tokenizers import normalizers
+
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
+
+
+@lru_cache(maxsize=200_000)
+def normal(word: str) -> str:
+    """NFC and lower case of a word by the library; a space never joins with what follows, so words stand alone."""
+    return _library_normal()(word)
 
 
 ASCII = ("A-Za-z", "0-9", "\\t-\\r ")
@@ -217,10 +224,10 @@ def byte_level_words(text: str) -> list[str]:
 
 def lower_case_words(text: str) -> list[str]:
     """Words after NFC and lower-casing by character."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-    text = text.lower()
-    return lower_case_pattern(text.isascii()).findall(text)
+    if text.isascii():
+        return lower_case_pattern(True).findall(text.lower())
+    text = " ".join([part.lower() if part.isascii() else normal(part) for part in text.split(" ")])
+    return lower_case_pattern(False).findall(text)
 
 
 def around_special(text: str, special: dict[str, int]) -> list[str]:

@@ -30,7 +30,7 @@ class Encoder:
         self.table: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
-        new = words - self.table.keys()
+        new = {w for w in words if w not in self.table}
         if len(new) + len(self.table) > bpe.CACHE_WORDS:
             self.table.clear()
             new = words

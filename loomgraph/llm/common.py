@@ -51,6 +51,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as it is read, dealt to all cores if it has fewer partitions: one row group is one task else."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def with_bytes(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep`` columns and the text's UTF-8 bytes as ``body``; a null text is empty."""
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body")

@@ -47,7 +47,7 @@ class LibraryEncoder(Encoder):
         self.library.no_padding()
 
     def learn(self, words: set[str]) -> None:
-        new = words - self.table.keys()
+        new = {w for w in words if w not in self.table}
         if len(new) + len(self.table) > CACHE_WORDS:
             self.table.clear()
             new = words

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import alignment, bpe_codec, collocations, exact_dedup, language_id, lm_scoring, matroska, packing, personal_data, repeats, simhash, token_counts, warc
-from loomgraph.llm.common import documents
+from loomgraph.llm.common import documents, spread
 
 
 def tokenizer(name: str) -> str:
@@ -84,7 +84,7 @@ FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(documents(spark, sf_dir))
+    return language_id.identify(spread(documents(spark, sf_dir)))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,11 +101,11 @@ FROM d WINDOW same AS (PARTITION BY norm)
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_codec.round_trip(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+    return bpe_codec.round_trip(spread(documents(spark, sf_dir)), tokenizer("word_bpe_49k.json"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), limit=1024)
+    return token_counts.token_counts(spread(documents(spark, sf_dir)), tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,19 +125,19 @@ FROM p
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), window=1024)
+    return packing.pack(spread(documents(spark, sf_dir)), tokenizer("byte_bpe_50k.json"), window=1024)
 
 
 def op9_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matroska.read_back(matroska.mux(documents(spark, sf_dir)))
+    return matroska.read_back(matroska.mux(spread(documents(spark, sf_dir))))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(documents(spark, sf_dir))
+    return simhash.near_duplicates(spread(documents(spark, sf_dir)))
 
 
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collocations.collocations(documents(spark, sf_dir))
+    return collocations.collocations(spread(documents(spark, sf_dir)))
 
 
 OP11_ORACLE = r"""
@@ -174,7 +174,7 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_data.personal_data(documents(spark, sf_dir))
+    return personal_data.personal_data(spread(documents(spark, sf_dir)))
 
 
 QUERIES = {

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from loomgraph.llm import bpe, bpe_codec, token_counts
+from loomgraph.llm import bpe, bpe_codec, packing, token_counts
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 from tokenizers import Tokenizer  # noqa: E402
@@ -36,6 +36,43 @@ def test_round_trip_equals_the_library(texts, make_docs):
         assert got[i].decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
 
 
+def every_code_point():
+    points = [i for i in [*range(0x20000), *range(0x2F7F0, 0x2FA20), *range(0x31340, 0x323C0), *range(0xE0000, 0xE01F0)] if not 0xD800 <= i < 0xE000]
+    for i in points:
+        yield f"a{chr(i)}b 1{chr(i)}"
+    for low in range(0, len(points), 50):
+        yield "".join(map(chr, points[low : low + 50]))
+
+
+def awkward_texts(n):
+    """Marks out of order, letters of many scripts, and what one version of Unicode knows and another doesn't."""
+    draw = random.Random(4)
+    marks = [*range(0x300, 0x370), *range(0x591, 0x5C0), *range(0x610, 0x61B), *range(0x64B, 0x660), *range(0x890, 0x8A0), *range(0x8D0, 0x900), *range(0x1DC0, 0x1E00), *range(0x2DE0, 0x2E00), 0x3099, 0x1CF9, 0x10EFD, 0x1E08F]
+    letters = [*range(0x41, 0x7B), *range(0xC0, 0x250), *range(0x370, 0x400), *range(0x1C80, 0x1C90), *range(0xA7C0, 0xA7DD), *range(0xAC00, 0xAC20), *range(0x1100, 0x1120), *range(0x1160, 0x1180), 0x130, 0x1E9E, 0x2126, 0x212B, 0x105C0]
+    others = [0x20, 0x20, 0x9, 0xA, 0xA0, 0x1680, 0x2003, 0x3000, 0x85, 0x1C, 0x27, 0x31, 0x661, 0x2167, 0xBD, 0x2E, 0x5F, 0x1F600]
+    for _ in range(n):
+        yield "".join(chr(draw.choice(draw.choice((letters, letters, marks, others)))) for _ in range(draw.randrange(1, 12)))
+
+
+@pytest.mark.parametrize("path, encoder", [(WORD, bpe_codec.encoder), (BYTE, bpe_codec.encoder), (BYTE, packing.encoder)])
+def test_every_code_point_and_marks_out_of_order(path, encoder):
+    library, own = Tokenizer.from_file(path), encoder(path)
+    texts = [*every_code_point(), *awkward_texts(40_000)]
+    for low in range(0, len(texts), 20_000):
+        part = texts[low : low + 20_000]
+        for text, ids, found in zip(part, own.encode(part), library.encode_batch(part, add_special_tokens=False)):
+            assert np.frombuffer(ids, "<u4").tolist() == found.ids, ascii(text)
+
+
+def test_counts_of_every_code_point():
+    library, own = Tokenizer.from_file(BYTE), token_counts.prefix_counts(BYTE)
+    texts = [*every_code_point(), *awkward_texts(5_000)]
+    for text, found in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        runs = own.split(text)
+        own.learn({w for words, special in runs if not special for w in words})
+        assert sum(own.counts(runs)) == len(found.ids), ascii(text)
+
+
 def test_byte_level_decoding_gives_the_text(make_docs):
     rows = [(1, "Hello  world<|endoftext|>\n é🙂"), (2, None), (2, None)]
     got = bpe_codec.decode(bpe_codec.encode(make_docs(rows), BYTE), BYTE).collect()
