@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scalar
 from loomgraph.operators import history, vectors
-from loomgraph.plans import index, lineage
+from loomgraph.plans import delta, index, ledgers, lineage, store
 from loomgraph.plans import relations as rel
 from loomgraph.plans.registry import query
 from loomgraph.plans.relations import duck, rows
@@ -103,6 +103,18 @@ def record_one(spark, sf_dir):
     return twice.nodes.select("id", "body_hash").crossJoin(twice.snapshots.agg(F.count("*").cast("int").alias("snapshots")))
 
 
+@query("SRC-16_stored_ledger", f"WITH old AS ({_OLD_LEDGER}), new AS ({_LEDGER.format(_CHANGED)}), both AS (SELECT 1 AS version, id, body_hash FROM old UNION ALL SELECT 2, id, body_hash FROM new UNION ALL SELECT 3, id, body_hash FROM new WHERE id <> 'Document:5.md') SELECT version, id, body_hash FROM both")
+def stored_ledger(spark, sf_dir):
+    """Three versions of a ledger on disk, each as it loads afterwards."""
+    folder = f"{lineage.checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    new = rows(spark, sf_dir, rel.PATHS).filter("seq % 4 <> 0").withColumn("digest", F.concat("digest", F.when(F.col("seq") % 2 == 0, "x").otherwise("")))
+    ledgers.update(spark, folder, lambda ledger: history.record(ledger, rows(spark, sf_dir, rel.PATHS).filter("seq % 5 <> 0")))
+    ledgers.update(spark, folder, lambda ledger: history.record(ledger, new))
+    ledgers.update(spark, folder, lambda ledger: history.remove_one(ledger, "x/5.md"))
+    shown = [ledgers.as_of(spark, folder, n).select(F.lit(n).alias("version"), "id", "body_hash") for n in (1, 2, 3)]
+    return shown[0].union(shown[1]).union(shown[2])
+
+
 @query(
     "MUT-15_remove_one",
     f"""WITH old AS ({_OLD_LEDGER}), s AS (SELECT CAST(1 + count(*) AS INT) AS snapshots FROM old WHERE id = 'Document:3.md')
@@ -584,7 +596,8 @@ def index_state(spark, sf_dir):
 
 def _saved_index(spark: SparkSession, sf_dir: str) -> str:
     folder = f"{lineage.checkpoint_dir(spark)}/graph-{uuid.uuid4().hex}"
-    index.save(_indexed(spark, sf_dir), folder)
+    graph, repeated = index.index_with_repeats(index.empty_graph(spark), _sources(spark, sf_dir), {"commit_sha": "abc"})
+    index.save(graph, folder, repeated)
     return folder
 
 
@@ -592,11 +605,26 @@ def _edited(files: DataFrame) -> DataFrame:
     return files.withColumn("content", F.when(F.col("path").contains("7"), F.lit(b"def other():\n    main()\n")).otherwise(F.col("content")))
 
 
+def _synced(spark: SparkSession, sf_dir: str) -> index.Graph:
+    files, folder = _sources(spark, sf_dir), _saved_index(spark, sf_dir)
+    edited = _edited(files).filter(~F.col("path").endswith("3.py"))
+    delta.sync(spark, store.read_version(spark, folder), folder, edited, files.select(F.col("path").alias("file")))
+    return index.load(spark, folder)
+
+
 @query("MUT-12_sync_paths", _RESYNCED)
 def sync_paths(spark, sf_dir):
-    files = _sources(spark, sf_dir)
-    graph = index.load(spark, _saved_index(spark, sf_dir))
-    return index.sync(graph, _edited(files).filter(~F.col("path").endswith("3.py")), files.select(F.col("path").alias("file"))).changes
+    return _synced(spark, sf_dir).changes
+
+
+@query(
+    "MUT-12_synced_edges",
+    f"""SELECT {_EDGE} FROM ({_INDEXED}) WHERE path NOT LIKE '%3.py' AND path NOT LIKE '%7%'
+UNION ALL SELECT concat('Module:', m), 'DEFINES', concat('Function:', m, '.other'), '', '', 'exact', false FROM ({_FILES}) WHERE path LIKE '%7%' AND path NOT LIKE '%3.py'
+UNION ALL SELECT concat('Function:', m, '.other'), 'CALLS', '', 'main', '', 'unresolved', false FROM ({_FILES}) WHERE path LIKE '%7%' AND path NOT LIKE '%3.py'""",
+)
+def synced_edges(spark, sf_dir):
+    return _synced(spark, sf_dir).edges.drop("seq")
 
 
 @query(
@@ -606,7 +634,7 @@ def sync_paths(spark, sf_dir):
 )
 def sync_target(spark, sf_dir):
     files, folder = _sources(spark, sf_dir), _saved_index(spark, sf_dir)
-    shown = index.sync_to(spark, folder, _edited(files).filter(~F.col("path").endswith("3.py")), files.select(F.col("path").alias("file")), durable=False)
+    shown = delta.sync_to(spark, folder, _edited(files).filter(~F.col("path").endswith("3.py")), files.select(F.col("path").alias("file")), durable=False)
     durable = index.load(spark, folder).snapshots.agg(F.count("*").cast("int").alias("durable_snapshots"))
     return shown.select("snapshot_id", "target", "added", "removed").crossJoin(durable)
 

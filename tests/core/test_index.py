@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import history, inventory, tables, traverse
-from loomgraph.plans import index
+from loomgraph.plans import delta, index
 from loomgraph.sources import tree
 from loomgraph.streaming import sync
 
@@ -109,12 +109,12 @@ def test_overlay_leaves_the_durable_graph_alone(spark, graph, tmp_path):
     index.save(graph, folder)
     change = {"util.py": "def assist():\n    return 2\n"}
     paths = spark.createDataFrame([("util.py",)], "file string")
-    first = index.sync_to(spark, folder, frame(spark, change), paths, durable=False).first()
+    first = delta.sync_to(spark, folder, frame(spark, change), paths, durable=False).first()
     assert (first.target, first.snapshot_id, first.files, first.added, first.removed) == ("overlay", 2, 1, 1, 2)
-    second = index.sync_to(spark, folder, frame(spark, FILES), paths, durable=False).first()
+    second = delta.sync_to(spark, folder, frame(spark, FILES), paths, durable=False).first()
     assert (second.snapshot_id, second.added, second.removed) == (3, 2, 1)
     assert index.load(spark, folder).snapshots.count() == 1
-    assert index.sync_to(spark, folder, frame(spark, change), paths).first().target == "durable"
+    assert delta.sync_to(spark, folder, frame(spark, change), paths).first().target == "durable"
     state = index.state(index.load(spark, folder), "abc").first()
     assert state.last_snapshot.id == 2 and not state.out_of_sync  # the last snapshot has no commit
     assert index.state(graph, "abc").first().out_of_sync is False and index.state(graph, "x").first().out_of_sync is True
