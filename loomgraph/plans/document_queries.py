@@ -103,7 +103,7 @@ def record_one(spark, sf_dir):
     return twice.nodes.select("id", "body_hash").crossJoin(twice.snapshots.agg(F.count("*").cast("int").alias("snapshots")))
 
 
-@query("SRC-16_stored_ledger", f"WITH old AS ({_OLD_LEDGER}), new AS ({_LEDGER.format(_CHANGED)}), both AS (SELECT 1 AS version, id, body_hash FROM old UNION ALL SELECT 2, id, body_hash FROM new UNION ALL SELECT 3, id, body_hash FROM new WHERE id <> 'Document:5.md') SELECT version, id, body_hash FROM both")
+@query("SRC-16_stored_ledger", f"WITH old AS ({_OLD_LEDGER}), new AS ({_LEDGER.format(_CHANGED)}), kept AS (SELECT 1 AS version, id, body_hash FROM old UNION ALL SELECT 2, id, body_hash FROM new UNION ALL SELECT 3, id, body_hash FROM new WHERE id <> 'Document:5.md') SELECT version, id, body_hash FROM kept")
 def stored_ledger(spark, sf_dir):
     """Three versions of a ledger on disk, each as it loads afterwards."""
     folder = f"{lineage.checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}"
@@ -425,6 +425,19 @@ def top_k(spark, sf_dir):
     return vectors.top_k(embeddings, asked["embedding"]).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(
+    "VEC-01_search_all",
+    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity
+  FROM embeddings AS e, embeddings AS q WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank, vec_id, similarity FROM r WHERE rank <= 40""",
+)
+def search_all(spark, sf_dir):
+    """Every vector whose id is divisible by 20 against all vectors."""
+    embeddings = table(spark, sf_dir, "embeddings")
+    return vectors.nearest(embeddings, embeddings.filter("vec_id % 20 = 0"))
+
+
 @query(
     "VEC-02_expanded",
     f"""WITH e AS ({duck(rel.EDGES)}), h AS (SELECT concat('n', e.vec_id) AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators import history, inventory, resolve, tables, traverse
+from loomgraph.operators import search as text_search
+from loomgraph.plans import lineage
 from loomgraph.plans import relations as rel
 from loomgraph.plans.registry import query
 from loomgraph.plans.relations import duck, rows
@@ -46,6 +50,12 @@ def search(spark, sf_dir):
     return core(tables.search(nodes(spark, sf_dir), "RING"))
 
 
+@query("FLT-02_indexed_search", f"WITH {_N} SELECT {_CORE} FROM n WHERE contains(lower(name), 'ring') OR contains(lower(qualified_name), 'ring')")
+def indexed_search(spark, sf_dir):
+    folder, found = f"{lineage.checkpoint_dir(spark)}/grams-{uuid.uuid4().hex}", nodes(spark, sf_dir)
+    return core(text_search.search(spark, found, text_search.build(found, folder), "RING"))
+
+
 @query("FLT-03_direct_callers", f"WITH {_E} SELECT src, dst, confidence, seq FROM e WHERE kind = 'CALLS' AND dst = 'n17'")
 def direct_callers(spark, sf_dir):
     return tables.find(edges(spark, sf_dir), kind="CALLS", dst="n17").select("src", "dst", "confidence", "seq")
