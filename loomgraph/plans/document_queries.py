@@ -14,7 +14,7 @@ from loomgraph.plans import relations as rel
 from loomgraph.plans.registry import query
 from loomgraph.plans.relations import duck, rows
 from loomgraph.sources import tree
-from loomgraph.streaming import sync
+from loomgraph.streaming import sync, watch
 
 _O, _NEW = f"o AS ({duck(rel.OLD_NODES)})", f"w AS ({duck(rel.NEW_NODES)})"
 _DIFF = f"""WITH {_O}, {_NEW} SELECT coalesce(w.id, o.id) AS node_id,
@@ -475,16 +475,31 @@ _POLLS = """SELECT user_id AS watch, event_id AS place, CASE WHEN event_id % 9 =
   CASE WHEN event_id % 18 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 2 ELSE 0 END AS pending FROM {events}"""
 
 
-@query(
-    "STR-01_watch_end",
+_ENDS = (
     f"""WITH q AS (SELECT watch, place, busy IS NULL AND pending IS NULL AS lost, coalesce(NOT busy, false) AND coalesce(pending, 0) = 0 AS quiet FROM ({duck(_POLLS)})),
 w AS (SELECT *, quiet AND coalesce(lag(quiet) OVER (PARTITION BY watch ORDER BY place), false) AS twice FROM q)
-SELECT watch, min(place) AS ended_at FROM w WHERE lost OR twice GROUP BY watch""",
+SELECT watch, min(place) AS ended_at FROM w WHERE lost OR twice GROUP BY watch"""
 )
+
+
+@query("STR-01_watch_end", _ENDS)
 def watch_end(spark, sf_dir):
     return sync.idle(rows(spark, sf_dir, _POLLS).withColumnRenamed("place", "at")).withColumnRenamed("at", "ended_at")
 
 
+@query("STR-01_watch_stream", _ENDS)
+def watch_stream(spark, sf_dir):
+    """Polls that arrive in two parts; the second run of the stream goes on from the first one's states."""
+    folder = f"{lineage.checkpoint_dir(spark)}/watch-{uuid.uuid4().hex}"
+    polls = rows(spark, sf_dir, _POLLS).withColumnRenamed("place", "at")
+    half = polls.agg(F.avg("at")).first()[0] or 0
+    for part in (polls.filter(F.col("at") <= half), polls.filter(F.col("at") > half)):
+        part.write.mode("append").parquet(f"{folder}/polls")
+        ends = watch.watch_ends(spark.readStream.schema(polls.schema).parquet(f"{folder}/polls"))
+        ends.writeStream.format("parquet").option("path", f"{folder}/ends").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("watch long, at long").parquet(f"{folder}/ends").withColumnRenamed("at", "ended_at")
+
+
 # ---- parsing and the whole index, over sources made from the driver's rows
 
 _SOURCE = '''import lib%d as other
