@@ -311,6 +311,7 @@ def archived_pages(pages: DataFrame, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     found = saved(found.withColumn("payload_bytes", F.octet_length("payload").cast("long")).drop("payload", "url"), "warc-read")
     responses = found.filter("record_type = 'response'")
     kept = responses.groupBy(F.col("page_id").alias("refers_to"), "digest").agg(F.max("payload_bytes").alias("payload_bytes"))
-    revisits = found.filter("record_type = 'revisit'").drop("payload_bytes").join(kept, ["refers_to", "digest"])
-    out = responses.unionByName(revisits)
+    revisits, key = found.filter("record_type = 'revisit'").drop("payload_bytes"), ["refers_to", "digest"]
+    referred = revisits.groupBy(*key).agg(F.count("*").alias("n")).join(kept, key)
+    out = responses.unionByName(join_counted(revisits, saved(referred, "warc-referred"), key).drop("n"))
     return out.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")

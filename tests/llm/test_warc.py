@@ -75,3 +75,9 @@ def test_hot_payloads_and_many_rows_without_an_id(spark, monkeypatch):
     manifest = warc.write_archive(spark.createDataFrame(lost, SCHEMA), folder).collect()
     assert len({r.shard for r in manifest}) > 1 and sum(r.records for r in manifest) == 60
     assert sorted(r.url for r in warc.read_archive(spark, folder).collect()) == sorted(r[1] for r in lost)
+
+
+def test_revisits_of_a_hot_payload_are_joined_where_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = [(i, "u", "h" * 1500) for i in range(40)] + [(100 + i, "u", f"{i % 3}" * 1200) for i in range(9)] + [(200, "u", "short")]
+    assert {tuple(r) for r in warc.archived_pages(spark.createDataFrame(rows, SCHEMA)).collect()} == want(rows)
