@@ -1,8 +1,9 @@
 """Traversals: bounded breadth-first search with discovery order, and unbounded closure.
 
 A level is a join of the frontier with the edges, an anti-join with what was seen, and a minimum per
-node. The edges are laid out by their near end once, for all levels. The order of a queue is that of paths of edge places, so the least path names the edge that
-finds a node first, and nothing has to be numbered globally. Each level is checkpointed.
+node. The edges are laid out by their near end once, for all levels. The order of a queue is that of
+paths of edge places, so the least path names the edge that finds a node first, and nothing has to be
+numbered globally. Each level is checkpointed.
 """
 
 from __future__ import annotations
