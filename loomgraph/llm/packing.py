@@ -13,11 +13,10 @@ it, plus those of the tasks before.
 from __future__ import annotations
 
 import os
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations_with_replacement
+from itertools import accumulate, chain, combinations_with_replacement
 from typing import NamedTuple
 
 import numpy as np
@@ -54,9 +53,10 @@ class LibraryEncoder(Encoder):
         todo = list(new)
         for at in range(0, len(todo), 10_000):
             part = todo[at : at + 10_000]
-            for word, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                ids = found.ids
-                self.table[word] = struct.pack(f"<{len(ids)}I", *ids)
+            ids = [found.ids for found in self.library.encode_batch_fast(part, add_special_tokens=False)]
+            ends = [4 * n for n in accumulate(map(len, ids), initial=0)]
+            data = np.fromiter(chain.from_iterable(ids), "<u4", ends[-1] // 4).tobytes()
+            self.table.update(zip(part, map(data.__getitem__, map(slice, ends, ends[1:]))))
 
 
 @lru_cache(maxsize=1)
