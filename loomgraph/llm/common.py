@@ -47,6 +47,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder to ``target``, which isn't there yet; its parent is made."""
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target)]
+    system = paths[1].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(paths[1].getParent())
+    if not system.rename(*paths):
+        raise OSError(f"{source} was not moved to {target}")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

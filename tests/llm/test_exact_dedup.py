@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm import common, exact_dedup
@@ -72,3 +73,35 @@ def test_first_copies_keep_columns_and_do_not_depend_on_layout(spark):
         assert row.doc_id == 0 and tuple(row) in set(rows)
         found.add(tuple(row))
     assert len(found) == 1
+
+
+def test_a_failed_run_is_repeated_under_its_name(make_docs, tmp_path, monkeypatch):
+    store = f"file://{tmp_path}/store"
+    rows = [(i, f"text {i % 7}") for i in range(10, 40)]
+    exact_dedup.add(make_docs(rows), store, run="first")
+    later = make_docs([(3, "text  1"), (50, "text 2"), (51, "own")])
+
+    def broken(*_):
+        raise RuntimeError("killed")
+
+    # Killed before the rows arrive, then between their arrival and the stream.
+    for part in ("move", "_stream"):
+        with monkeypatch.context() as patch, pytest.raises(RuntimeError):
+            patch.setattr(exact_dedup, part, broken)
+            exact_dedup.add(later, store, run="second")
+    everything = want(rows + [(3, "text  1"), (50, "text 2"), (51, "own")])
+    for _ in range(2):
+        got = exact_dedup.exact_duplicates(later, store=store, run="second")
+        assert {tuple(r) for r in got.collect()} == everything and got.count() == 33
+    with pytest.raises(ValueError):
+        exact_dedup.add(later, store, run="../second")
+
+
+def test_bytes_are_read_of_hits_only(make_docs, tmp_path):
+    store = f"file://{tmp_path}/store"
+    docs = make_docs([(i, f"text {i % 50}") for i in range(80)] + [(100, None), (101, "")])
+    exact_dedup.add(docs, store)
+    found = exact_dedup.groups(docs.sparkSession, store)
+    got = exact_dedup.hits(exact_dedup.arrivals_of(docs.sparkSession, store), found)
+    want_texts = sorted([f"text {i % 50}" for i in range(80) if i % 50 < 30] + ["", ""])
+    assert sorted(r.text or "" for r in got.collect()) == want_texts
