@@ -13,7 +13,7 @@ from loomgraph.plans import delta, index, ledgers, lineage, store
 from loomgraph.plans import relations as rel
 from loomgraph.plans.registry import query
 from loomgraph.plans.relations import duck, rows
-from loomgraph.sources import tree
+from loomgraph.sources import outcomes, tree
 from loomgraph.streaming import sync, watch
 
 _O, _NEW = f"o AS ({duck(rel.OLD_NODES)})", f"w AS ({duck(rel.NEW_NODES)})"
@@ -130,11 +130,14 @@ _SYNCED = f"""old AS (SELECT id, body_hash FROM ({_OLD_LEDGER})), new AS ({_FOLD
 diff AS ({_LEDGER_DIFF}), done AS (SELECT * FROM diff WHERE length(node_id) % 2 = 0)"""
 
 
-def _folder_synced(spark: SparkSession, sf_dir: str) -> tuple[history.Ledger, DataFrame]:
+def _folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.concat("digest", F.when(F.col("seq") % 2 == 0, "x").otherwise("")).cast("binary")
-    files = rows(spark, sf_dir, rel.PATHS).filter("seq % 4 <> 0").select("path", content.alias("content"))
+    return rows(spark, sf_dir, rel.PATHS).filter("seq % 4 <> 0").select("path", content.alias("content"))
+
+
+def _folder_synced(spark: SparkSession, sf_dir: str) -> tuple[history.Ledger, DataFrame]:
     answer = F.when(F.length("node_id") % 2 == 0, "documento aceptado").otherwise("error 500")
-    return history.sync_folder(_ledger(spark, sf_dir), files, lambda diffs: diffs.select("node_id", answer.alias("message")))
+    return history.sync_folder(_ledger(spark, sf_dir), _folder(spark, sf_dir), lambda diffs: diffs.select("node_id", answer.alias("message")))
 
 
 @query(
@@ -157,6 +160,30 @@ def sync_summary(spark, sf_dir):
     return _folder_synced(spark, sf_dir)[1].withColumn("duplicates", F.array_join("duplicates", ","))
 
 
+def _store(node_id: str, change: str, detail: str) -> str:
+    """A store that takes names of even length, is out of reach for every third length, and refuses the rest."""
+    if len(node_id) % 3 == 0:
+        raise ConnectionError("out of reach")
+    return "error 500" if len(node_id) % 2 else "documento aceptado"
+
+
+@query(
+    "MUT-20_entry_outcomes",
+    f"""WITH {_SYNCED} SELECT node_id, change, length(node_id) % 3 = 0 AS raised, length(node_id) % 3 <> 0 AND length(node_id) % 2 = 0 AS ok,
+  CASE WHEN length(node_id) % 3 = 0 THEN 'ConnectionError: out of reach' WHEN length(node_id) % 2 = 0 THEN 'documento aceptado' ELSE 'error 500' END AS message FROM diff""",
+)
+def entry_outcomes(spark, sf_dir):
+    """Every difference of a folder sent to a store by tasks, and what each entry met."""
+    kept = []
+
+    def send(diffs: DataFrame) -> DataFrame:
+        kept.append(outcomes.applied(diffs, _store))
+        return kept[0]
+
+    history.sync_folder(_ledger(spark, sf_dir), _folder(spark, sf_dir), send)
+    return kept[0].select("node_id", "change", "raised", scalar.accepted(F.col("message")).alias("ok"), "message")
+
+
 @query("MUT-25_digest_of", f"SELECT name AS file, body_hash FROM ({_OLD_LEDGER}) WHERE name = '7.md'")
 def digest_of(spark, sf_dir):
     return history.digest_of(_ledger(spark, sf_dir), "any/where/7.md")

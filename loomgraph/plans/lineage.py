@@ -18,9 +18,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path of its own below the checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once below the checkpoint folder, read from there by whatever comes after."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,7 +1,7 @@
 """Sources: a tree of files, git, status and environment texts.
 
-Spark's own file sources skip names that begin with ``_`` or ``.``, so trees are read by a data source
-of our own: the driver lists folders, and tasks read the files.
+Spark's own file sources skip names that begin with ``_`` or ``.``, so trees are listed and read by tasks
+of our own: a round lists the folders of one depth, and the files found are dealt out to be read.
 """
 
 from __future__ import annotations
@@ -10,12 +10,14 @@ import os
 import subprocess
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from loomgraph.functions import scalar
 from loomgraph.functions.languages import PARSERS
+from loomgraph.plans import lineage
 
 # Folders that hold no code or documents of the user's, and suffixes of documents.
 _ALWAYS = (
@@ -27,55 +29,111 @@ DOCUMENT_EXCLUDED = (*_ALWAYS, ".angular", ".terraform")
 DOCUMENT_SUFFIXES = (".md", ".txt", ".pdf", ".docx", ".doc", ".pptx", ".csv", ".rst", ".html")
 
 
-class _Paths(InputPartition):
-    def __init__(self, root: str, paths: list[str]):
-        self.root, self.paths = root, paths
+#: Folders that one task lists in a round, and files and bytes that one task reads.
+FOLDERS_PER_TASK, FILES_PER_TASK, BYTES_PER_TASK = 100, 1000, 64 << 20
+_LISTED = pa.schema([("path", pa.string()), ("size", pa.int64()), ("folder", pa.bool_())])
+_FILES = pa.schema([("path", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
+_ROWS = 10_000
+#: Content that is held before it goes on: Arrow's batches stay small, whatever the files' sizes.
+_HELD = 16 << 20
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, root: str, per_task: int, excluded: set[str], suffixes: tuple[str, ...]):
-        self.root, self.per_task, self.excluded, self.suffixes = root, per_task, excluded, suffixes
+def _is_local(root: str) -> bool:
+    return "://" not in root and not root.startswith("file:")
 
-    def partitions(self) -> list[InputPartition]:
-        found = []
-        for folder, below, names in os.walk(self.root):
-            below[:] = [name for name in below if name not in self.excluded]
-            wanted = [name for name in names if not self.suffixes or name.lower().endswith(self.suffixes)]
-            found += [os.path.relpath(os.path.join(folder, name), self.root) for name in wanted]
-        found = sorted((p.replace(os.sep, "/") for p in found), key=lambda p: p.split("/"))
-        return [_Paths(self.root, found[i : i + self.per_task]) for i in range(0, len(found), self.per_task)] or [_Paths(self.root, [])]
 
-    def read(self, partition: _Paths) -> Iterator[tuple]:
-        for path in partition.paths:
-            full = os.path.join(partition.root, path)
-            if os.path.isfile(full):
-                with open(full, "rb") as file:
-                    content = file.read()
-                yield path, len(content), content
+def _entries(root: str, folder: str) -> Iterator[tuple[str, int, bool]]:
+    """name, size, whether it is a folder, of what lies in a folder; links to folders are left out.
 
+    A root with a scheme (``file:``, ``hdfs:``, ``s3:``) is read through Arrow's file systems; that of
+    Hadoop asks for its native library where tasks run.
+    """
+    if not _is_local(root):
+        system, base = FileSystem.from_uri(root)
+        for info in system.get_file_info(FileSelector(f"{base}/{folder}".rstrip("/"), allow_not_found=True)):
+            if info.type is not FileType.NotFound and not (info.type is FileType.Directory and os.path.islink(info.path)):
+                yield info.base_name, info.size or 0, info.type is FileType.Directory
+        return
+    try:
+        with os.scandir(os.path.join(root, folder)) as found:
+            for entry in found:
+                if entry.is_dir(follow_symlinks=False) or entry.is_file():
+                    is_folder = entry.is_dir(follow_symlinks=False)
+                    yield entry.name, 0 if is_folder else entry.stat().st_size, is_folder
+    except FileNotFoundError:
+        return
 
-class TreeSource(DataSource):
-    """``spark.read.format("file_tree").load(root)``: path (relative), size, content.
 
-    Folders named in the option ``exclude`` aren't entered, files without one of the ``suffixes`` not
-    read (both comma-separated; without them everything is).
-    """
+def _content(root: str, path: str) -> bytes | None:
+    """A file's bytes; nothing if it is gone since it was listed."""
+    try:
+        if _is_local(root):
+            with open(os.path.join(root, path), "rb") as file:
+                return file.read()
+        system, base = FileSystem.from_uri(root)
+        with system.open_input_file(f"{base}/{path}") as file:
+            return file.read()
+    except FileNotFoundError:
+        return None
 
-    @classmethod
-    def name(cls) -> str:
-        return "file_tree"
 
-    def schema(self) -> str:
-        return "path string, size long, content binary"
+def listing(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """path (relative), size of the files below ``root``, listed by tasks.
 
-    def reader(self, schema) -> DataSourceReader:
-        listed = {name: [v for v in self.options.get(name, "").split(",") if v] for name in ("exclude", "suffixes")}
-        return _Reader(self.options["path"], int(self.options.get("filesPerTask", 200)), set(listed["exclude"]), tuple(listed["suffixes"]))
+    A round lists all folders of one depth and gives those of the next, so the driver holds one number
+    a round. Folders named in ``exclude`` aren't entered; with ``suffixes`` other files aren't listed.
+    """
+    root = root.rstrip("/") or "/"
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for folder in batch.column(0).to_pylist():
+                for name, size, is_folder in _entries(root, folder):
+                    if name not in exclude if is_folder else not suffixes or name.lower().endswith(suffixes):
+                        rows.append((f"{folder}/{name}".lstrip("/"), size, is_folder))
+                    if len(rows) == _ROWS:
+                        yield _batch(rows, _LISTED)
+                        rows = []
+            yield _batch(rows, _LISTED)
+
+    target, depth, count = lineage.fresh(spark, "listing"), 0, 1
+    folders = spark.createDataFrame([("",)], "path string")
+    while count:
+        schema = "path string, size long, folder boolean"
+        dealt = folders.repartition(-(-count // FOLDERS_PER_TASK))
+        dealt.mapInArrow(look, schema).write.parquet(f"{target}/depth={depth}")
+        folders = spark.read.schema(schema).parquet(f"{target}/depth={depth}").filter("folder").select("path")
+        count, depth = folders.count(), depth + 1
+    return spark.read.schema(f"{schema}, depth int").parquet(target).filter("not folder").select("path", "size")
 
 
 def files(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), suffixes: tuple[str, ...] = ()) -> DataFrame:
-    spark.dataSource.register(TreeSource)
-    return spark.read.format("file_tree").option("exclude", ",".join(exclude)).option("suffixes", ",".join(suffixes)).load(root)
+    """path (relative), size, content of the files of ``listing``; the tree is listed now, files are read when asked for."""
+    root = root.rstrip("/") or "/"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                content = _content(root, path)
+                if content is not None:
+                    held.append((path, len(content), content))
+                    size += len(content)
+                if size >= _HELD:
+                    yield _batch(held, _FILES)
+                    held, size = [], 0
+        yield _batch(held, _FILES)
+
+    listed = listing(spark, root, exclude, suffixes)
+    many, size = listed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    dealt = listed.select("path").repartition(1 + many // FILES_PER_TASK + size // BYTES_PER_TASK)
+    return dealt.mapInArrow(read, "path string, size long, content binary")
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
 def code_tree(spark: SparkSession, root: str) -> DataFrame:
