@@ -14,7 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import bodies, saved, scratch, shuffle_partitions
@@ -31,6 +31,8 @@ NO_ID = np.iinfo(np.int64).max
 _REST = np.uint64((1 << 40) - 1)
 # Fixed value: an odd multiplier of 64 bits.
 _SPREAD = 0x9E3779B97F4A7C15
+#: Numbers of a task's blocks lie below the task's own number.
+_TASK_SHIFT = 36
 _SCHEMA = "block long, size int, body binary, ids binary, ends binary, carried binary"
 
 
@@ -50,8 +52,8 @@ def make_blocks(docs: DataFrame, size: int = BLOCK_BYTES, carry: list[str] | Non
     """The blocks of ``docs``, a table below the shared folder; null texts are empty.
 
     Columns named in ``carry`` go along as Arrow streams. ``level`` is how hard zstd packs the texts.
-    The table is bucketed by block as its tasks write it, so answers are joined to it where it lies:
-    only they are shuffled, never the texts.
+    The table is bucketed by block as its tasks write it, a file for each task, so answers are joined to
+    it where it lies: only they are shuffled, never the texts. A small table is dealt to all cores before.
     """
     carry = carry or []
 
@@ -91,17 +93,32 @@ def make_blocks(docs: DataFrame, size: int = BLOCK_BYTES, carry: list[str] | Non
 
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body, *[F.col(f"`{c}`").alias(f"carried_{i}") for i, c in enumerate(carry)])
-    rows = source.mapInArrow(run, _SCHEMA).withColumn("block", F.shiftleft(F.spark_partition_id().cast("long"), 24) + F.col("block"))
+    rows = source.mapInArrow(run, _SCHEMA).withColumn("block", _number(shuffle_partitions(docs.sparkSession)))
     return by_block(rows, "blocks")
 
 
+def _number(buckets: int) -> Column:
+    """A number for a task's n-th block (column ``block``) by which all blocks of the task fall into one bucket.
+
+    Each block has numbers of its own to choose from, eight for each bucket; where none of them falls into
+    the task's bucket (one block in 3,000), its first one is taken, which costs a file more.
+    """
+    task, choice = F.spark_partition_id().cast("long"), F.lit(8 * buckets).cast("long")
+    first = F.shiftleft(task, _TASK_SHIFT) + F.col("block") * choice
+    fitting = F.filter(F.sequence(first, first + choice - 1), lambda n: F.pmod(F.hash(n), F.lit(buckets)) == F.pmod(task, F.lit(buckets)))
+    return F.coalesce(F.get(fitting, F.lit(0)), first)
+
+
 def by_block(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` as a table below the shared folder, bucketed by block."""
+    """``rows`` as a table below the shared folder, bucketed by block; nothing stays in the catalog."""
     spark = rows.sparkSession
     path = scratch(spark, name)
     table = path.rsplit("/", 1)[1].replace("-", "_")
     rows.write.format("parquet").bucketBy(shuffle_partitions(spark), "block").option("path", path).saveAsTable(table)
-    return spark.table(table)
+    # The frame is resolved, buckets included, so the entry can go; the files stay.
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return found
 
 
 def read_blocks(batch: pa.RecordBatch) -> Iterator[Block]:
@@ -140,6 +157,11 @@ def distinct_keys(keys: np.ndarray, buckets: int, whole: bool = False) -> Keys:
     return Keys((found >> np.uint64(40)).astype(np.int64), found & _REST, counts, place)
 
 
+def mixed(number: int) -> int:
+    """32 bits that depend on all of a block's number."""
+    return number * _SPREAD % (1 << 64) >> 32
+
+
 def buckets_for(blocks: DataFrame, keys_per_byte: float) -> int:
     total = blocks.agg(F.sum("size")).first()[0] or 0
     return max(shuffle_partitions(blocks.sparkSession), int(total * keys_per_byte / BUCKET_KEYS) + 1)
@@ -259,7 +281,7 @@ def _answers_in_two_steps(blocks: DataFrame, keys_of: Callable[[Block], np.ndarr
             for block in read_blocks(batch):
                 own = distinct_keys(keys_of(block), buckets, whole)
                 keys = own.rest if whole else own.bucket.astype(np.uint64) << np.uint64(40) | own.rest
-                group = (block.number * _SPREAD % (1 << 64) >> 32) % groups
+                group = mixed(block.number) % groups
                 yield _rows(own.bucket * ranges // buckets * groups + group, block.number, keys, own.counts.astype("<u4"), 8)
 
     def unit(number: int, held: _Held) -> pa.RecordBatch:

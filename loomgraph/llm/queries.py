@@ -21,7 +21,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(documents(spark, sf_dir))
+    return lm_scoring.score(spread(documents(spark, sf_dir)))
 
 
 OP1_ORACLE = r"""
@@ -59,7 +59,7 @@ FROM d LEFT JOIN r USING (doc_id)
 
 
 def op2_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.removal_report(documents(spark, sf_dir))
+    return repeats.removal_report(spread(documents(spark, sf_dir)))
 
 
 OP2_ORACLE = """
