@@ -6,14 +6,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import saved
+from loomgraph.llm.common import join_counted, saved
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` for every node of ``edges`` (``a``, ``b``); root is the smallest node.
 
-    Each round joins every node's links with the least neighbour (partial minima first), writes the
-    links below the shared folder, and ends when their count and hash stand still.
+    Each round joins every node's links with the least neighbour (partial minima first; hubs by a bounded
+    broadcast, where their links lie), writes the links below the shared folder, and ends when their count
+    and hash stand still.
     """
     now = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
@@ -30,14 +31,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node's larger neighbours go to its least neighbour (or itself)."""
     both = edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = saved(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n")), "least")
+    return join_counted(both, least, ["a"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours go to the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    edges = saved(edges, "links")
+    least = saved(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+    moved = join_counted(edges, least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 

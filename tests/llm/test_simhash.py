@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 import xxhash
 
-from loomgraph.llm import simhash
+from loomgraph.llm import common, components, simhash
 
 
 def brute_fp(text):
@@ -89,3 +90,14 @@ def test_manhattan_is_a_lower_bound():
     assert (exact <= np.bitwise_count(fp[i] ^ fp[j])).all()
     for d in (5, 20, 24):
         assert (simhash._manhattan_at_most(low, high, i, j, d) == (exact <= d)).all()
+
+
+@pytest.mark.parametrize("bound", [1000, 3])
+def test_components_with_hubs_and_chains(spark, monkeypatch, bound):
+    monkeypatch.setattr(common, "HOT_ROWS", bound)
+    hub = [(500, i) for i in range(100, 160)] + [(i, 1000 + i) for i in range(100, 160, 7)]
+    chain = [(i, i + 1) for i in range(20)]
+    edges = spark.createDataFrame(hub + chain + [(9, 9), (5, 4)], "a long, b long")
+    got = {(r.node, r.root) for r in components.connected_components(edges).collect()}
+    assert got == {(n, 100) for n in {x for e in hub for x in e}} | {(n, 0) for n in range(21)}
+    assert components.connected_components(edges.limit(0)).collect() == []
