@@ -259,11 +259,13 @@ def counted(blocks: DataFrame, keys_of: Callable[[Block], np.ndarray], buckets:
         return joined(blocks, hold(_answers_in_two_steps(blocks, keys_of, buckets, whole)), "totals")
     width = 8 if whole else 5
 
+    def asks(block: Block) -> pa.RecordBatch:
+        own = distinct_keys(keys_of(block), buckets, whole)
+        return _rows(own.bucket, block.number, own.rest, own.counts.astype("<u4"), width)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in read_blocks(batch):
-                own = distinct_keys(keys_of(block), buckets, whole)
-                yield _rows(own.bucket, block.number, own.rest, own.counts.astype("<u4"), width)
+            yield from map(asks, read_blocks(batch))
 
     return joined(blocks, hold(_answers(blocks.mapInArrow(ask, _ASKED), buckets, width, "<u4")), "totals")
 

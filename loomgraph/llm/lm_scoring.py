@@ -131,19 +131,23 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFram
     answered = counted(blocks, lambda block: asked(grams(block, order)), buckets, whole=True)
     schema = "doc_id long, n_words long, n_backoff long, log_score double"
 
+    def scored(block: Block, parts: list[dict]) -> pa.RecordBatch:
+        found = grams(block, order)
+        counts = others(found, totals_of(parts), distinct_keys(asked(found), buckets, whole=True).place)
+        logs, gave_up = word_scores(counts, alpha)
+        n = len(block.ids)
+        columns = [
+            pa.array(block.ids, mask=block.ids == NO_ID),
+            pa.array(np.bincount(found.doc, minlength=n)),
+            pa.array(np.bincount(found.doc, gave_up > 0, minlength=n).astype(np.int64)),
+            pa.array(np.bincount(found.doc, logs, minlength=n).astype(np.float64)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A block's arrays end with the call, before the next block's are made.
         for batch in batches:
             for block, parts in zip(read_blocks(batch), lists(batch, "totals")):
-                found = grams(block, order)
-                counts = others(found, totals_of(parts), distinct_keys(asked(found), buckets, whole=True).place)
-                logs, gave_up = word_scores(counts, alpha)
-                n = len(block.ids)
-                columns = [
-                    pa.array(block.ids, mask=block.ids == NO_ID),
-                    pa.array(np.bincount(found.doc, minlength=n)),
-                    pa.array(np.bincount(found.doc, gave_up > 0, minlength=n).astype(np.int64)),
-                    pa.array(np.bincount(found.doc, logs, minlength=n).astype(np.float64)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
+                yield scored(block, parts)
 
     return answered.mapInArrow(run, schema).withColumn("log_score", F.round("log_score", 4))
