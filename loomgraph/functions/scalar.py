@@ -28,8 +28,20 @@ def suffix(path: Column) -> Column:
 
 
 def format_size(n: Column) -> Column:
-    """Bytes as B, KB, MB or GB, with one decimal above B."""
-    scaled = lambda power, unit: F.concat(F.format_string("%.1f", n / F.lit(1024.0**power)), F.lit(unit))
+    """Bytes as B, KB, MB or GB, with one decimal above B, rounded as C's and Python's %.1f do.
+
+    The decimal is that of the quotient as a double, exactly, and of two equally near the even one. Java's
+    formatter rounds the shortest text of the double instead, and 0.25 up, so whole numbers are used here.
+    """
+    exact = n.cast("double").cast("long")  # what is left of n in a double; dividing it by a power of two loses nothing
+
+    def scaled(power: int, unit: str) -> Column:
+        size = F.lit(1024**power).cast("long")
+        whole, rest = F.call_function("div", exact, size), exact % size * 10
+        tenth, over = F.call_function("div", rest, size), rest % size * 2
+        tenths = whole * 10 + tenth + ((over > size) | ((over == size) & (tenth % 2 == 1))).cast("long")
+        return F.concat(F.call_function("div", tenths, F.lit(10).cast("long")).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(unit))
+
     return (
         F.when(n < 1024, F.concat(n.cast("string"), F.lit("B"))).when(n < 1024**2, scaled(1, "KB"))
         .when(n < 1024**3, scaled(2, "MB")).otherwise(scaled(3, "GB"))
