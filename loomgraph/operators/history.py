@@ -141,11 +141,13 @@ def sync_folder(ledger: Ledger, files: DataFrame, apply: Callable[[DataFrame], D
     """Documents of a folder (path, content) against the ledger: what differs is applied, successes are committed.
 
     ``apply`` gets the differences (node_id, change, detail) and gives node_id and ``message`` for
-    each; of paths with one name the last in order counts. What isn't accepted stays as it was on
+    each; of paths with one name the last in order counts, and of rows with one path the first by
+    ``seq``, a column that only files with repeated paths need. What isn't accepted stays as it was on
     record, for another try. Also returns one row: files, added, modified, removed, errors, and the
     names that several paths share.
     """
-    last = F.max_by(F.struct("path", F.md5("content").alias("digest")), F.split("path", "/")).alias("last")
+    place = F.struct(F.split("path", "/"), -F.col("seq")) if "seq" in files.columns else F.split("path", "/")
+    last = F.max_by(F.struct("path", F.md5("content").alias("digest")), place).alias("last")
     docs = files.groupBy(basename(F.col("path"))).agg(last).select("last.*", F.lit(0).cast("long").alias("seq"))
     diffs = diff_nodes(ledger.nodes, document_nodes(docs))
     answers = apply(diffs.select("node_id", "change", "detail")).groupBy("node_id").agg(F.max(accepted(F.col("message"))).alias("ok"))

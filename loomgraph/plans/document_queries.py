@@ -132,7 +132,7 @@ diff AS ({_LEDGER_DIFF}), done AS (SELECT * FROM diff WHERE length(node_id) % 2
 
 def _folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.concat("digest", F.when(F.col("seq") % 2 == 0, "x").otherwise("")).cast("binary")
-    return rows(spark, sf_dir, rel.PATHS).filter("seq % 4 <> 0").select("path", content.alias("content"))
+    return rows(spark, sf_dir, rel.PATHS).filter("seq % 4 <> 0").select("path", content.alias("content"), "seq")
 
 
 def _folder_synced(spark: SparkSession, sf_dir: str) -> tuple[history.Ledger, DataFrame]:
