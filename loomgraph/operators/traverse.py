@@ -37,9 +37,9 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, kinds: tuple[str, ...
     frontier = seen
     for level in range(1, depth + 1):
         found = (
-            frontier.select("root", F.col("id").alias("here"), "path").join(steps, "here")
+            frontier.select("root", F.col("id").alias("here"), "path").join(steps.hint("merge"), "here")
             .select("root", F.col("there").alias("id"), F.concat("path", F.array("seq")).alias("path"), "confidence")
-            .join(seen.select("root", "id"), ["root", "id"], "left_anti")
+            .join(seen.select("root", "id").hint("merge"), ["root", "id"], "left_anti")
             .groupBy("root", "id").agg(F.min(F.struct("path", "confidence")).alias("first"))
         )
         frontier = cut(found.select("root", "id", F.lit(level).alias("distance"), "first.confidence", "first.path"))
@@ -52,10 +52,11 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, kinds: tuple[str, ...
 
 def closure(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """Ids reachable over dependency edges from ``entries`` (column id), the entries among them."""
-    steps, level = adjacency(edges).select(F.col("here").alias("id"), "there"), 0
+    # Sizes that Spark expects are those of compressed files, so it would send millions of ids through the driver.
+    steps, level = adjacency(edges).select(F.col("here").alias("id"), "there").hint("merge"), 0
     seen = frontier = cut(entries.select("id").distinct())
     while not frontier.isEmpty():
-        frontier = cut(frontier.join(steps, "id").select(F.col("there").alias("id")).distinct().join(seen, "id", "left_anti"))
+        frontier = cut(frontier.join(steps, "id").select(F.col("there").alias("id")).distinct().join(seen.hint("merge"), "id", "left_anti"))
         level += 1
         seen = cut(seen.union(frontier)) if level % REWRITE == 0 else seen.union(frontier)
     return seen
