@@ -17,7 +17,7 @@ def fan_in(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, fan_in (dependency edges, each key once), fan_in_modules (modules of known sources), call_in."""
     modules = nodes.filter("kind = 'Module'").groupBy("file").agg(F.max_by("qualified_name", "seq").alias("module"))
     sources = nodes.join(modules, "file", "left").select(F.col("id").alias("src"), F.coalesce("module", "file").alias("module"))
-    rows = edges.filter(is_dependency()).select("src", "kind", "dst").distinct().join(sources, "src", "left")
+    rows = edges.filter(is_dependency()).select("src", "kind", "dst").distinct().join(sources.hint("merge"), "src", "left")
     return rows.groupBy(F.col("dst").alias("id")).agg(
         F.count("*").alias("fan_in"), F.countDistinct("module").alias("fan_in_modules"), F.count_if(F.col("kind") == "CALLS").alias("call_in")
     )
@@ -41,7 +41,10 @@ def build(nodes: DataFrame, edges: DataFrame, annotations: DataFrame, entrypoint
     names = {"main", *(e.lower() for e in entrypoints)}
     symbols = nodes.filter(is_symbol())
     live = closure(edges, symbols.filter(F.lower("name").isin(*names)).select("id")).withColumn("reached", F.lit(True))
-    rows = symbols.join(fan_in(nodes, edges), "id", "left").join(annotation_maps(annotations), "id", "left").join(live, "id", "left")
+    # As many rows as there are nodes: joined by shuffle, however small their files are.
+    rows = symbols
+    for more in (fan_in(nodes, edges), annotation_maps(annotations), live):
+        rows = rows.join(more.hint("merge"), "id", "left")
     zero = F.lit(0)
     noted = lambda label: F.coalesce(F.map_contains_key("annotations", label), F.lit(False))
     rows = rows.withColumns({c: F.coalesce(c, zero) for c in ("fan_in", "fan_in_modules", "call_in")})
