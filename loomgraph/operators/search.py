@@ -23,7 +23,10 @@ def grams(text: Column) -> Column:
 def build(nodes: DataFrame, folder: str, buckets: int = BUCKETS) -> store.Parts:
     """Write the grams of names and qualified names of ``nodes`` (id, name, qualified_name), whatever their case."""
     lower = lambda c: grams(F.lower(F.coalesce(F.col(c), F.lit(""))))
-    rows = nodes.select("id", F.explode(F.array_union(lower("name"), lower("qualified_name"))).alias("gram")).select("gram", "id").distinct()
+    # One row group is one task else, and a row gives many grams. A gram is once in a node's row; repeated ids may repeat it.
+    cores = nodes.sparkSession.sparkContext.defaultParallelism
+    nodes = nodes.repartition(cores) if nodes.rdd.getNumPartitions() < cores else nodes
+    rows = nodes.select(F.explode(F.array_union(lower("name"), lower("qualified_name"))).alias("gram"), "id")
     return store.write_parts(rows, folder, "grams", store.bucket_of(F.col("gram"), buckets))
 
 
@@ -36,8 +39,7 @@ def search(spark: SparkSession, nodes: DataFrame, index: store.Parts, text: str,
     asked = sorted({low[i : i + 3] for i in range(len(low) - 2)})
     if not asked:
         return tables.search(nodes, text)
-    wanted = spark.createDataFrame([(g,) for g in asked], "gram string")
-    of = {r[0] for r in wanted.select(store.bucket_of(F.col("gram"), buckets)).distinct().collect()}
-    found = store.read_parts(spark, index, _SCHEMA, of).filter(F.col("gram").isin(*asked))
+    of = set(spark.range(1).select(*[store.bucket_of(F.lit(g), buckets).alias(f"of_{i}") for i, g in enumerate(asked)]).first())
+    found = store.read_parts(spark, index, _SCHEMA, of).filter(F.col("gram").isin(*asked)).distinct()
     all_ = found.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") == len(asked))
     return tables.search(nodes.join(all_, "id", "left_semi"), text)
