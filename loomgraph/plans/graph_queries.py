@@ -132,7 +132,9 @@ FROM ruled"""
 
 
 def _code(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return rows(spark, sf_dir, rel.CODE_NODES), rows(spark, sf_dir, rel.CODE_EDGES)
+    """Symbols and edges; the edges, which are read more than once, are written first."""
+    found = rows(spark, sf_dir, rel.CODE_NODES)
+    return found, lineage.stored(rows(spark, sf_dir, rel.CODE_EDGES, code_nodes=found.hint("merge")), "code-edges")
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +143,7 @@ def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("JOIN-01_unique_names", f"WITH {_CN} SELECT name, min(id) AS id FROM n WHERE kind IN ('Function', 'Method', 'Class') GROUP BY name HAVING count(*) = 1")
 def unique_names(spark, sf_dir):
-    return resolve.symbol_tables(*_code(spark, sf_dir)).unique.select("name", "id").filter("id IS NOT NULL")
+    return resolve.unique_names(rows(spark, sf_dir, rel.CODE_NODES)).select("name", "id").filter("id IS NOT NULL")
 
 
 @query("JOIN-02_resolve_calls", f"SELECT * FROM ({_RESOLVED}) WHERE kind = 'CALLS'")

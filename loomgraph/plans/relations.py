@@ -77,6 +77,7 @@ def duck(text: str) -> str:
     return sql_for(text, {t: t for t in TABLES})
 
 
-def rows(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """The text over the parquet files in ``sf_dir``."""
-    return spark.sql(sql_for(text, {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}))
+def rows(spark: SparkSession, sf_dir: str, text: str, **views: DataFrame) -> DataFrame:
+    """The text over the parquet files in ``sf_dir``; ``views`` stand for those of ``VIEWS``."""
+    names = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
+    return spark.sql(text.format(**names, **{v: "{" + v + "}" for v in views}), **views) if views else spark.sql(sql_for(text, names))
