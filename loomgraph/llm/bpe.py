@@ -221,6 +221,18 @@ def lower_case_pattern(ascii_only: bool) -> re.Pattern:
     return re.compile(f"[{letter}]+|[{digit}]|'(?:[stmd]|re|ve|ll)|[^{space}{letter}{digit}]+")
 
 
+@lru_cache(maxsize=2)
+def stretch_pattern(ascii_only: bool) -> re.Pattern:
+    """White space and what follows up to the next white space; the frequent kind, after one space, comes first."""
+    space = ASCII[2] if ascii_only else classes()[2]
+    return re.compile(f" [^{space}]+|[{space}]*[^{space}]+|[{space}]+")
+
+
+def stretches(text: str) -> list[str]:
+    """The text cut before white space that follows something else; words of any file's pattern lie within the parts."""
+    return stretch_pattern(text.isascii()).findall(text)
+
+
 def byte_level_words(text: str) -> list[str]:
     return byte_level_pattern(text.isascii()).findall(text)
 

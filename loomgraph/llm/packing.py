@@ -13,10 +13,11 @@ it, plus those of the tasks before.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain, combinations_with_replacement
+from itertools import chain, combinations_with_replacement, compress, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -25,38 +26,121 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
+from loomgraph.llm import bpe
 from loomgraph.llm.bpe import CACHE_WORDS
-from loomgraph.llm.bpe_codec import Encoder
 from loomgraph.llm.common import bodies, saved, with_bytes
 
 WINDOW, END_ID = 1024, 0
 #: Lengths, most frequent first, of which two may stand in a combination of three.
 TRIPLE_LENGTHS = 64
 ROUNDS = 400
+#: Characters of distinct stretches kept with their ids before the table starts anew, as with ``CACHE_WORDS`` stretches.
+CACHE_CHARACTERS = 32_000_000
+#: New stretches are encoded in texts of about so many bytes; the library takes longer for a byte of longer ones.
+JOINED_BYTES = 1000
 
 
-class LibraryEncoder(Encoder):
-    """Ids of whole texts, where the tokenizers library encodes each distinct word once."""
+class Numbers(dict):
+    """Numbers from 0, given to keys as they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        return number
+
+
+def appended(array: np.ndarray, used: int, values: np.ndarray) -> np.ndarray:
+    """``array`` with ``values`` from place ``used`` on; a new one, twice as long, if they don't fit."""
+    if used + len(values) > len(array):
+        array = np.concatenate([array[:used], np.empty(used + 2 * len(values), array.dtype)])
+    array[used : used + len(values)] = values
+    return array
+
+
+class LibraryEncoder:
+    """Ids of whole texts, where the tokenizers library encodes each distinct stretch of text once.
+
+    A stretch is white space and what follows, up to the next white space. Words never go on across
+    the place before white space, nor does what follows there change the words before it, so stretches
+    are encoded apart from each other. For the same reason many new ones are encoded as one text: the
+    library's cost for a text of its own is higher than that of a word. Which ids are a stretch's
+    follows from their bytes, as byte-level tokens keep every byte.
+    """
 
     def __init__(self, path: str):
-        super().__init__(path)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-
-    def learn(self, words: set[str]) -> None:
-        new = {w for w in words if w not in self.table}
-        if len(new) + len(self.table) > CACHE_WORDS:
-            self.table.clear()
-            new = words
-        todo = list(new)
-        for at in range(0, len(todo), 10_000):
-            part = todo[at : at + 10_000]
-            ids = [found.ids for found in self.library.encode_batch_fast(part, add_special_tokens=False)]
-            ends = [4 * n for n in accumulate(map(len, ids), initial=0)]
-            data = np.fromiter(chain.from_iterable(ids), "<u4", ends[-1] // 4).tobytes()
-            self.table.update(zip(part, map(data.__getitem__, map(slice, ends, ends[1:]))))
+        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        vocabulary = self.library.get_vocab()
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.token_bytes[list(vocabulary.values())] = list(map(len, vocabulary))  # a character stands for a byte
+        byte_level = self.library.normalizer is None and isinstance(self.library.pre_tokenizer, ByteLevel)
+        self.joins = byte_level and not any(re.search(r"\s", t) for t in self.special)
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all stretches. ``ids`` holds those of number n from ``ends[n]`` to ``ends[n + 1]``."""
+        self.numbers, self.characters = Numbers(), 0
+        self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        """Take in the ids of the stretches whose numbers follow those taken in so far."""
+        within = np.array([self.joins and w[0] in " \n" and not w[-1].isspace() for w in new], bool)
+        order = np.concatenate([np.flatnonzero(within), np.flatnonzero(~within)])
+        together, n_together = self._joined(list(compress(new, within)))
+        alone, n_alone = self._single(list(compress(new, ~within)))
+        counts, starts = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        counts[order] = np.concatenate([n_together, n_alone])
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        known = len(self.numbers) - len(new)
+        used = int(self.ends[known])
+        self.ids = appended(self.ids, used, gathered(np.concatenate([together, alone]), starts, counts))
+        self.ends = appended(self.ends, known + 1, used + np.cumsum(counts))
+        self.characters += sum(map(len, new))
+
+    def _single(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that are encoded one by one, end to end, and how many each has."""
+        found = []
+        for at in range(0, len(words), 10_000):
+            found += [x.ids for x in self.library.encode_batch_fast(words[at : at + 10_000], add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), "<u4", counts.sum()), counts
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of stretches that begin with white space and don't end with it, by fewer and longer texts."""
+        size = np.fromiter(map(len, map(str.encode, words)), np.int64, len(words))
+        ends = np.cumsum(size)
+        cuts = np.searchsorted(ends, np.arange(0, size.sum(), JOINED_BYTES)).tolist() + [len(words)]
+        ids, _ = self._single(["".join(words[low:high]) for low, high in zip(cuts, cuts[1:]) if low < high])
+        covered = np.cumsum(self.token_bytes[ids])
+        if covered[-1:].tolist() != ends[-1:].tolist():  # a vocabulary without a symbol for each byte drops some
+            return self._single(words)
+        return ids, np.diff(np.searchsorted(covered, ends) + 1, prepend=0)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.numbers) > CACHE_WORDS or self.characters > CACHE_CHARACTERS:
+            self.clear()
+        units, lasts, known = [], [0], len(self.numbers)
+        for text in texts:
+            for i, part in enumerate(bpe.around_special(text, self.special)):
+                units += [part] if i % 2 else bpe.stretches(part)
+            lasts.append(len(units))
+        numbers = np.fromiter(map(self.numbers.__getitem__, units), np.int64, len(units))
+        self.learn(list(islice(reversed(self.numbers), len(self.numbers) - known))[::-1])
+        starts = self.ends[numbers]
+        counts = self.ends[numbers + 1] - starts
+        places = (4 * np.concatenate([[0], np.cumsum(counts)])[lasts]).tolist()
+        steps = [slice(at, at + 500_000) for at in range(0, len(units), 500_000)]
+        data = b"".join([gathered(self.ids, starts[x], counts[x]).tobytes() for x in steps])
+        return [data[low:high] for low, high in zip(places, places[1:])]
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The ``counts[i]`` values from ``starts[i]`` on, for each i, end to end."""
+    ends = np.cumsum(counts)
+    return values[np.repeat(starts - ends + counts, counts) + np.arange(counts.sum())]
 
 
 @lru_cache(maxsize=1)

@@ -12,7 +12,7 @@ from loomgraph.llm import packing
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 from tokenizers import Tokenizer  # noqa: E402
 
-BYTE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE, WORD = map(public_tokenizers.path, ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
 
 def verify(rows, got, window):
@@ -77,3 +77,54 @@ def test_least_squares_is_not_negative_and_fits():
     x = np.maximum(rng.normal(size=20), 0)
     got = packing.solve(matrix, matrix @ x)
     assert (got >= 0).all() and np.abs(matrix @ got - matrix @ x).max() < 0.05
+
+
+class Counting:
+    """A library that counts the texts it is given."""
+
+    def __init__(self, library):
+        self.library, self.texts = library, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.library.encode_batch_fast(texts, **options)
+
+
+def test_the_library_gets_many_new_words_as_one_text():
+    words = [f"{a}{b}{c}" for a in "abcdefgh" for b in "klmnopqrst" for c in ("ing", "ed.", "é", "'s,", "12")]
+    text, own = " ".join(words), packing.LibraryEncoder(BYTE)
+    own.library = Counting(own.library)
+    for _ in range(2):
+        ids = np.frombuffer(own.encode([text])[0], "<u4").tolist()
+        assert ids == own.library.library.encode(text, add_special_tokens=False).ids
+    assert own.library.texts < len(words) / 20
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_white_space_of_any_kind_and_special_tokens(path):
+    rng = random.Random(5)
+    signs = [" ", " ", "\n", "\t", "\r", "\x1c", "\x85", "\u3000", "a", "B", "é", "中", "1", ".", "'s", "'", "\u0301", "<|endoftext|>", "<|"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 12))) for _ in range(20_000)]
+    library, own = Tokenizer.from_file(path), packing.LibraryEncoder(path)
+    for low in range(0, len(texts), 3000):
+        part = texts[low : low + 3000]
+        for text, ids, found in zip(part, own.encode(part), library.encode_batch(part, add_special_tokens=False)):
+            assert np.frombuffer(ids, "<u4").tolist() == found.ids, ascii(text)
+
+
+@pytest.mark.parametrize("bound", ["CACHE_WORDS", "CACHE_CHARACTERS"])
+def test_a_small_table_of_stretches_starts_anew(monkeypatch, bound):
+    monkeypatch.setattr(packing, bound, 1)
+    library, own = Tokenizer.from_file(BYTE), packing.LibraryEncoder(BYTE)
+    for texts in (["one two three four five"], [], ["", "six seven", "six seven"], ["one two"]):
+        found = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in own.encode(texts)] == found
+    assert len(own.numbers) == 2
+
+
+def test_tokens_that_drop_bytes_are_encoded_stretch_by_stretch():
+    own = packing.LibraryEncoder(BYTE)
+    text = "some words, and more of them"
+    expected = own.library.encode(text, add_special_tokens=False).ids
+    own.token_bytes[expected[2]] -= 1
+    assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == expected
